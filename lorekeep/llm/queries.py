@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kn_langid import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out("doc_id", 3, 1)))
+    return predict(docs, model).withColumn("held_out", held_out("doc_id", 3, 1))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +33,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown_lm import fit, score
+    from .kn_langid import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model, counts = fit(docs.filter(~held_out("doc_id", 7, 2)))
+    return score(docs, model, counts).withColumn("held_out", held_out("doc_id", 7, 2))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_tiles import near_duplicates
 
@@ -33,7 +50,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_brown_lm": op7_brown_lm,
     "op10_simhash": op10_simhash,
 }
 
