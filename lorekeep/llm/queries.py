@@ -33,6 +33,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_radix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .brown_lm import fit, score
     from .kn_langid import held_out
@@ -52,6 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_suffix_radix": op6_suffix_radix,
     "op7_brown_lm": op7_brown_lm,
     "op10_simhash": op10_simhash,
 }
