@@ -23,6 +23,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out("doc_id", 3, 1))
 
 
+def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +54,22 @@ def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, counts).withColumn("held_out", held_out("doc_id", 7, 2))
 
 
+def op8_warc_zst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zst import archive_pages, read_archives
+
+    return read_archives(archive_pages(table(spark, sf_dir, "pages"))).drop("uri")
+
+
+def op9_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_scan import token_counts
+
+    return token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_tiles import near_duplicates
 
@@ -57,9 +79,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_pivot_topk": op2_pivot_topk,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_suffix_radix": op6_suffix_radix,
     "op7_brown_lm": op7_brown_lm,
+    "op8_warc_zst": op8_warc_zst,
+    "op9_token_scan": op9_token_scan,
     "op10_simhash": op10_simhash,
 }
 
