@@ -39,6 +39,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .latent_decontam import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_radix import remove_repeats
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pivot_topk": op2_pivot_topk,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_latent_decontamination": op5_latent_decontamination,
     "op6_suffix_radix": op6_suffix_radix,
     "op7_brown_lm": op7_brown_lm,
     "op8_warc_zst": op8_warc_zst,
