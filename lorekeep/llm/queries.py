@@ -29,6 +29,19 @@ def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_bootstrap import KINDS, find, spelled
+
+    found = find(table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS)],
+        F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +99,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pivot_topk": op2_pivot_topk,
+    "op3_pii_bootstrap": op3_pii_bootstrap,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_latent_decontamination": op5_latent_decontamination,
     "op6_suffix_radix": op6_suffix_radix,
