@@ -380,3 +380,25 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def held_out(id_col: str, modulus: int, remainder: int):
     """True for rows whose crc32 of the id as text leaves the remainder; false for null ids."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text the model does not reject."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for batch in batches:
+            at = batch.schema.names.index("_text")
+            for block in blocks(batch, "_text", 4 << 20):
+                texts = block.column(at).to_pylist()
+                if m.langs:
+                    _, _, rejected = m.decide(*m.entropies(texts))
+                    keep = ~rejected
+                else:
+                    keep = np.array([len(units(t)) > 0 for t in texts], dtype=bool)
+                yield pa.RecordBatch.from_arrays(
+                    [c for i, c in enumerate(block.columns) if i != at], names=[n for n in block.schema.names if n != "_text"]
+                ).filter(pa.array(keep))
+
+    return docs.withColumn("_text", utf8(text_col)).mapInArrow(run, docs.schema)

@@ -235,3 +235,161 @@ def near_duplicates(
     return prints.join(classes, "fp", "left").select(
         "doc_id", "fp", F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+_BINS = 64
+
+
+def _sketch(words: list[bytes], shingle: int) -> tuple[int, bytes]:
+    """(number of different shingles, one-permutation minima of their hashes, a byte for each of 64 bins; empty bins borrow)."""
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        hashes = np.array([digest(joined, SEED)], dtype=np.uint64)
+    else:
+        starts = [0, *accumulate(len(w) + 1 for w in words)]
+        hashes = np.unique(np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts, starts[shingle:])], dtype=np.uint64))
+    # Sorted hashes: the first of each bin (top six bits) is its minimum.
+    bins, first = np.unique(hashes >> np.uint64(58), return_index=True)
+    out = np.zeros(_BINS, dtype=np.uint8)
+    filled = np.searchsorted(bins, np.arange(_BINS, dtype=np.uint64)) % len(bins)
+    low = ((hashes[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+    out[:] = low[filled]
+    return len(hashes), out.tobytes()
+
+
+def _copy_links(radius: int, similarity: float, agree: float):
+    """Kernel over partitions sorted by (pair, side, size): spanning links of near copies."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch | None:
+        fp, size, rep, side = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        sketch = np.concatenate([r[4] for r in rows])
+        fp = fp.view(np.uint64)
+        order = np.argsort(size, kind="stable")
+        fp, size, rep, side, sketch = fp[order], size[order], rep[order], side[order], sketch[order]
+        pop = np.bitwise_count(fp).astype(np.int16)
+        own = side.min() == side.max()
+        if own and side[0] == 1:
+            return None
+        left = np.arange(len(fp)) if own else np.flatnonzero(side == 0)
+        right = left if own else np.flatnonzero(side == 1)
+        parent = np.arange(len(fp))
+        tile = 512
+        for i in range(0, len(left), tile):
+            x = left[i : i + tile]
+            for j in range(i if own else 0, len(right), tile):
+                y = right[j : j + tile]
+                if size[y[0]] * similarity > size[x[-1]]:
+                    break
+                if size[x[0]] * similarity > size[y[-1]] or pop[x].min() - pop[y].max() > radius or pop[y].min() - pop[x].max() > radius:
+                    continue
+                a, b = np.nonzero(np.bitwise_count(fp[x][:, None] ^ fp[y][None, :]) <= radius)
+                a, b = x[a], y[b]
+                live = (parent[a] != parent[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+                a, b = a[live], b[live]
+                for lo in range(0, len(a), 1 << 16):
+                    u, v = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
+                    same = (sketch[u] == sketch[v]).mean(axis=1) >= agree
+                    if same.any():
+                        parent = _merge(parent, u[same], v[same])
+        moved = parent != np.arange(len(parent))
+        if not moved.any():
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[parent[moved]])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pair, side, size, fp, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint8).reshape(-1, _BINS)
+            bounds = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)]
+            for lo, hi in zip(bounds, bounds[1:]):
+                if pair[lo] != last:
+                    if held and (out := flush(held)) is not None:
+                        yield out
+                    last, held = pair[lo], []
+                held.append((fp[lo:hi], size[lo:hi], rep[lo:hi], side[lo:hi], sketch[lo:hi]))
+        if held and (out := flush(held)) is not None:
+            yield out
+
+    return run
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    vote_shingle: int = 3,
+    shingle: int = 5,
+    similarity: float = 0.8,
+    radius: int = 12,
+    agree: float = 0.7,
+    least_tile: int = 4096,
+    most_tile: int = 65536,
+) -> DataFrame:
+    """(doc_id, component_id) of every document: near copies at a Jaccard similarity of about ``similarity`` of word shingles.
+
+    At that similarity SimHash distances pass what buckets can find, so this is the
+    plain tiled comparison: rows sorted by their number of shingles are cut into
+    tiles; only tile pairs whose sizes can reach the similarity are compared, and of
+    these only sub-tiles whose population counts are within ``radius``.  Pairs
+    within the radius are confirmed by 64-byte sketches of their shingle sets (a
+    share of ``agree`` equal bins).  Tile pairs leave spanning links only.
+
+    Null and empty texts are copies of each other.  Rows of null id are their own
+    class unless copies with an id exist; repeated ids keep one row each.
+    """
+
+    def kernel(cols):
+        fps, sizes, sketches = [], [], []
+        for raw in cols["text"]:
+            fps.append(simhash64(raw, vote_shingle))
+            n, s = _sketch(raw.lower().split(), shingle)
+            sizes.append(n)
+            sketches.append(s)
+        return {"doc_id": cols["doc_id"], "fp": np.array(fps, dtype=np.uint64).view(np.int64), "size": sizes, "sketch": sketches}
+
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary())])
+    prints = map_rows(
+        docs, [F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")], kernel, "doc_id long, fp long, size int, sketch binary", schema, text="text"
+    )
+    prints = materialise(prints, "copies-prints")
+    keys = ["fp", "size", "sketch"]
+    distinct = materialise(prints.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies-distinct")
+    rows = distinct.filter("rep IS NOT NULL").withColumn("place", F.col("size").cast("long") * (1 << 20) + F.pmod(F.xxhash64("fp"), F.lit(1 << 20)))
+    n = rows.count()
+    tile = min(most_tile, max(least_tile, n // 24))
+    tiles = max(1, -(-n // tile))
+    cuts = []
+    if tiles > 1:
+        got = rows.agg(F.percentile_approx("place", [i / tiles for i in range(1, tiles)], 20 * tiles).alias("q")).first()["q"]
+        cuts = sorted(set(got))
+    low = [0, *(c >> 20 for c in cuts)]
+    high = [*(c >> 20 for c in cuts), 1 << 40]
+    last = [max(u for u in range(t, len(low)) if low[u] * similarity <= high[t]) for t in range(len(low))]
+    first = [min(t for t in range(u + 1) if last[t] >= u) for u in range(len(low))]
+    own = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c < F.col("place"))) if cuts else F.lit(0)
+    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
+    placed = rows.withColumn("t", own)
+    width = len(low)
+    pairs = F.concat(
+        F.transform(F.sequence(F.col("t"), F.get(lit(last), F.col("t"))), lambda u: F.struct((F.col("t") * width + u).alias("pair"), F.lit(0).alias("side"))),
+        F.transform(
+            F.filter(F.sequence(F.get(lit(first), F.col("t")), F.col("t")), lambda v: v < F.col("t")),
+            lambda v: F.struct((v * width + F.col("t")).alias("pair"), F.lit(1).alias("side")),
+        ),
+    )
+    dealt = placed.select(F.explode(pairs).alias("p"), "size", "fp", "rep", "sketch").select("p.pair", "p.side", "size", "fp", "rep", "sketch")
+    dealt = dealt.repartition(max(1, min(4 * len(low) * 2, 2000)), "pair").sortWithinPartitions("pair", "side", "size")
+    labels = components(dealt.mapInArrow(_copy_links(radius, similarity, agree), "a long, b long"), "a", "b")
+    classes = (
+        distinct.join(labels, distinct["rep"] == labels["node"], "left")
+        .filter((F.col("copies") > 1) | F.col("component").isNotNull())
+        .select(*keys, F.coalesce("component", "rep").alias("component"), F.lit(True).alias("found"))
+    )
+    return prints.join(classes, keys, "left").select(
+        "doc_id", F.when(F.col("found"), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
