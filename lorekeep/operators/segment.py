@@ -59,3 +59,22 @@ def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     changed = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"), F.lit(0))
     first = F.row_number().over(w) == 1
     return df.withColumn("_c", F.when(first, 0).otherwise(changed)).withColumn("run", F.sum("_c").over(w)).drop("_c")
+
+
+def quote_places(text: str, quote: str, prefix: str) -> Column:
+    """Array of (at, score): every place of the quote, overlapping ones too; 2 where the text before is the prefix, else 0.
+
+    Places come from a look-ahead split, whose pieces end where the quote begins.
+    """
+    literal = f"concat('(?=\\\\Q', replace({quote}, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E)')"
+    pieces = F.expr(f"split({text}, {literal}, -1)")
+    ends = F.aggregate(
+        F.transform(pieces, lambda p: F.length(p)),
+        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
+        lambda acc, n: F.struct((acc["n"] + n).alias("n"), F.concat(acc["at"], F.array(acc["n"])).alias("at")),
+        lambda acc: acc["at"],
+    )
+    size, before = F.length(F.col(quote)), F.length(F.col(prefix))
+    hit = F.filter(ends, lambda a: F.substring(F.col(text), a + 1, size) == F.col(quote))
+    same = lambda a: (a >= before) & (F.substring(F.col(text), a - before + 1, before) == F.col(prefix))
+    return F.transform(hit, lambda a: F.struct(a.alias("at"), F.when(same(a), 2).otherwise(0).alias("score")))
