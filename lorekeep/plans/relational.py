@@ -205,9 +205,9 @@ def link_merge_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderstatus").alias("kind")).agg(F.max_by("o_orderkey", place).alias("last_key"), F.count("*").alias("writes"))
 
 
-@query("SELECT user_id, max_by(value, (ts, event_id)) AS position, CAST(epoch_ms(max(ts)) AS BIGINT) AS at FROM events GROUP BY 1")
+@query("SELECT user_id, max_by(value, (ts, event_id)) AS position, CAST(epoch_us(max(ts)) AS BIGINT) AS at FROM events GROUP BY 1")
 def reading_progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.unix_millis(F.max("ts").cast("timestamp"))
+    at = F.unix_micros(F.max("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("position"), at.alias("at"))
 
 
