@@ -88,7 +88,8 @@ def exchange(pairs: np.ndarray, clusters: int, rounds: int = 4) -> np.ndarray:
             rest[a] -= right
             rest[:, a] -= left
             rest[a, a] -= loop
-            rows, cols = rest.sum(axis=1), rest.sum(axis=0)
+            # What other words send to w and get from it is in their classes' sums, whatever w's class.
+            rows, cols = rest.sum(axis=1) + left, rest.sum(axis=0) + right
             # Likelihood change of adding w to class k, for all k at once.
             new_row, new_col = rest + right[None, :], rest + left[:, None]
             gain = (xlogx(new_row) - xlogx(rest)).sum(axis=1) + (xlogx(new_col) - xlogx(rest)).sum(axis=0)

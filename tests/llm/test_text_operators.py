@@ -266,13 +266,24 @@ def test_brown_model_is_a_distribution(spark):
     assert np.allclose((10**model.transition).sum(axis=1), 1, rtol=1e-6)
 
 
-def test_exchange_separates_two_alternating_kinds():
+def test_exchange_ends_where_no_move_helps():
     import numpy as np
     from lorekeep.llm.brown_lm import exchange
 
-    grid = np.zeros((8, 8))
-    grid[:4, 4:] = 10
-    grid[4:, :4] = 10
-    grid += np.random.default_rng(1).integers(0, 3, grid.shape)  # an even start is a saddle
-    label = exchange(grid, 2)
+    def likelihood(grid, label, k):
+        m = np.eye(k)[label]
+        g = m.T @ grid @ m
+        x = lambda a: (a * np.log(np.maximum(a, 1))).sum()
+        return x(g) - x(g.sum(axis=1)) - x(g.sum(axis=0))
+
+    rng = np.random.default_rng(0)
+    for _ in range(4):
+        grid = rng.integers(0, 50, (14, 14)).astype(float)
+        label = exchange(grid, 3, rounds=50)
+        moves = [likelihood(grid, np.where(np.arange(14) == w, c, label), 3) for w in range(14) for c in range(3)]
+        assert likelihood(grid, label, 3) >= max(moves) - 1e-6
+    grid = rng.integers(0, 3, (8, 8)).astype(float)
+    grid[:4, 4:] += 10
+    grid[4:, :4] += 10
+    label = exchange(grid, 2, rounds=50)
     assert len(set(label[:4])) == 1 and len(set(label[4:])) == 1 and label[0] != label[4]
