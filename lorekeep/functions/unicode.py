@@ -6,15 +6,16 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalize_name(names: pd.Series) -> pd.Series:
     """NFKC, case-folded, white space squeezed."""
     return names.map(lambda s: " ".join(unicodedata.normalize("NFKC", s).casefold().split()), na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def wikilink_key(targets: pd.Series) -> pd.Series:
     """Alias key of a link target: no ``#anchor``, NFKC, lower case, sharp s, final sigma and long s folded."""
     fold = str.maketrans({"ß": "ss", "ς": "σ", "ſ": "s"})
@@ -23,7 +24,7 @@ def wikilink_key(targets: pd.Series) -> pd.Series:
     )
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def study_key_text(lemmas: pd.Series) -> pd.Series:
     """NFC, stripped, lower case."""
     return lemmas.map(lambda s: unicodedata.normalize("NFC", s.strip()).lower(), na_action="ignore")

@@ -13,7 +13,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Modules whose queries are registered on import.
-MODULES = ("documents", "pages", "graph", "study", "media", "quality", "relational", "records")
+MODULES = ("documents", "pages", "graph", "study", "media", "quality", "relational", "records", "chapters", "scanners")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
