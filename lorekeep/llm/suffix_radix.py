@@ -320,7 +320,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.count("*").alias("times"), *[f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("r1", "r2")]
     )
     stats = stats.filter("times > 1").select("anchor", ((F.col("minr1") == F.col("maxr1")) & (F.col("minr2") == F.col("maxr2"))).alias("alike"))
-    again = materialise(runs.join(stats, "anchor"), "radix-again")
+    # Written out, so that the join reads two plain shuffles and can split a hot anchor.
+    again = materialise(runs.join(materialise(stats, "radix-anchors"), "anchor"), "radix-again")
     whole = lambda df: df.select("doc_id", "h", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
     mixed = again.filter("NOT alike")
     kinds = mixed.groupBy("anchor", "r1", "r2").agg(
