@@ -39,3 +39,24 @@ def identity_basis(candidates: list[tuple[str, Column]]) -> tuple[Column, Column
         basis = F.when(there, F.lit(name)).otherwise(basis)
         value = F.when(there, F.trim(c)).otherwise(value)
     return basis, value
+
+
+def chain_verdicts(df: DataFrame, id_col: str, supersedes: str, key: str) -> DataFrame:
+    """(key, heads, dangling, verdict) of every identity's chain: ``ok`` with exactly one head and no dangling link."""
+    ids = df.select(F.col(id_col).alias("_t")).distinct()
+    linked = df.join(ids, df[supersedes] == F.col("_t"), "left")
+    later = df.select(F.col(supersedes).alias("_s")).filter("_s IS NOT NULL").distinct()
+    marked = linked.join(later, F.col(id_col) == F.col("_s"), "left")
+    g = marked.groupBy(key).agg(
+        F.count_if(F.col("_s").isNull()).alias("heads"),
+        F.count_if(F.col(supersedes).isNotNull() & F.col("_t").isNull()).alias("dangling"),
+        F.count_if(F.col(id_col) == F.col(supersedes)).alias("loops"),
+    )
+    verdict = F.when(F.col("dangling") + F.col("loops") > 0, "dangling").when(F.col("heads") == 1, "ok").when(F.col("heads") == 0, "cycle").otherwise("ambiguous")
+    return g.select(key, "heads", "dangling", verdict.alias("verdict"))
+
+
+def append_only(old: DataFrame, new: DataFrame, section: str, tag: str) -> DataFrame:
+    """(section, tag, verdict): entries that went (``removed``) or came (``added``)."""
+    a, b = old.select(section, tag).distinct(), new.select(section, tag).distinct()
+    return a.exceptAll(b).withColumn("verdict", F.lit("removed")).unionByName(b.exceptAll(a).withColumn("verdict", F.lit("added")))

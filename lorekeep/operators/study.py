@@ -107,3 +107,17 @@ def last_write(log: DataFrame, keys: list[str], order: list[str], fields: list[s
     """The row written last for each key."""
     latest = F.max_by(F.struct(*fields), F.struct(*order)).alias("_v")
     return log.groupBy(*keys).agg(latest).select(*keys, "_v.*")
+
+
+def reset(items: DataFrame, status: str, known_days: int = 30) -> DataFrame:
+    """Items set by hand: ``known`` (long interval), ``new`` (state cleared) or ``learning`` (due now)."""
+    today = F.current_date()
+    if status == "new":
+        values = {"s": 0.0, "d": 0.0, "state": 0, "reps": 0, "lapses": 0}
+        cleared = items.withColumns({k: F.lit(v).cast(items.schema[k].dataType) for k, v in values.items()})
+        return cleared.withColumn("due", F.lit(None).cast("date"))
+    if status == "known":
+        return items.withColumns({"state": F.lit(1), "s": F.greatest("s", F.lit(float(known_days))), "due": F.date_add(today, known_days)})
+    if status == "learning":
+        return items.withColumns({"state": F.lit(1), "due": today})
+    raise ValueError(f"no such status: {status}")
