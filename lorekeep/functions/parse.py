@@ -90,3 +90,60 @@ def latin_alias(aliases: Column) -> Column:
     plain = F.filter(aliases, lambda a: ~a.rlike(foreign) & a.rlike("[A-Za-z]"))
     inner = F.filter(F.transform(aliases, lambda a: F.regexp_extract(a, r"\(([^)]*[A-Za-z][^)]*)\)", 1)), lambda a: (a != "") & ~a.rlike(foreign))
     return F.coalesce(F.get(plain, F.lit(0)), F.get(inner, F.lit(0)))
+
+
+def grammar_key(pattern: Column) -> Column:
+    """Grammar pattern without wave dashes and ellipses, lower case."""
+    return F.lower(F.regexp_replace(F.trim(pattern), "[～〜…]", ""))
+
+
+def join_pages(pages: Column) -> Column:
+    """Page texts joined: a new paragraph after a sentence's end, else only a new line."""
+    ended = r"[.!?。！？][\"'”’」』）)]*\s*$"
+    step = lambda acc, x: F.when(acc == "", x).when(acc.rlike(ended), F.concat(acc, F.lit("\n\n"), x)).otherwise(F.concat(acc, F.lit("\n"), x))
+    return F.aggregate(F.filter(F.transform(pages, lambda x: F.trim(x)), lambda x: x != ""), F.lit(""), step)
+
+
+def resolve_path(base: Column, ref: Column) -> Column:
+    """``ref`` relative to the folder of ``base``; null where it leaves the root, is absolute, a URL or data."""
+    whole = F.concat(F.regexp_replace(base, "[^/]*$", ""), F.regexp_replace(ref, "[?#].*$", ""))
+    parts = F.filter(F.split(whole, "/"), lambda p: (p != "") & (p != "."))
+    up = lambda acc, p: F.when(acc.isNull(), acc).when(p != "..", F.concat(acc, F.array(p))).when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), up)
+    return F.when(ref.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), None).otherwise(F.array_join(walked, "/"))
+
+
+def cjk_sentences(text: Column) -> Column:
+    """Sentences after ``。！？`` with the closing quotes that follow; the rest is a sentence of its own."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit("[^。！？]++(?:[。！？]++[」』）”]*+|\\z)"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def image_sources(html: Column) -> Column:
+    """Distinct sources of img, image and source elements, in order; data URLs are left out."""
+    found = F.regexp_extract_all(html, F.lit(r"(?i)<(?:img|image|source)\b[^>]*?\b(?:src|href|srcset)=\"([^\" ,>]+)"), F.lit(1))
+    return F.filter(F.array_distinct(found), lambda x: ~x.startswith("data:"))
+
+
+def cites_now(paragraph: Column, source_id: str, anchor: str = "") -> Column:
+    """Whether the last citation group of a paragraph names exactly this source and anchor."""
+    groups = F.regexp_extract_all(paragraph, F.lit(r"\[src:([^\]]*)\]"), F.lit(1))
+    parts = F.transform(F.split(F.element_at(groups, -1), ","), lambda p: F.regexp_replace(F.trim(p), r"(?i)^src:\s*", ""))
+    return F.when(F.size(groups) == 0, False).otherwise(F.array_contains(parts, f"{source_id}#{anchor}" if anchor else source_id))
+
+
+def callouts(text: Column, mark: str = "AI") -> Column:
+    """Bodies of quoted callouts ``> [!mark]``, quote marks taken off."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?m)^> \[!{mark}\][^\n]*((?:\n>[^\n]*)*)"), F.lit(1))
+    return F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"(?m)^>[ \t]?", ""), F.lit(" \n")))
+
+
+def kanji_added(before: Column, after: Column) -> Column:
+    """How many more Han characters the second text has."""
+    count = lambda c: F.length(F.regexp_replace(c, r"[^\x{3400}-\x{9fff}]", ""))
+    return F.greatest(count(after) - count(before), F.lit(0))
+
+
+def privacy_findings(text: Column) -> Column:
+    """Kinds of private material in a file: home folders, key blocks, bearer tokens."""
+    rules = {"home": r"(/home/|/Users/|C:\\Users\\)[A-Za-z0-9._-]+", "key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "token": r"(?i)\b(bearer|token|secret)[ =:]+[A-Za-z0-9_\-]{20,}"}
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in rules.items()]))

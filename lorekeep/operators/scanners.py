@@ -175,3 +175,27 @@ def best_spans(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> lis
             used_j.add(j)
             out.append((i, j))
     return sorted(out)
+
+
+def widen_quote(text: str, start: int, end: int, least: int = 20) -> tuple[int, int]:
+    """A short quote widened to whole words until it has ``least`` characters, first to the right, then to the left."""
+    while end - start < least and end < len(text):
+        end += 1
+        while end < len(text) and not text[end].isspace():
+            end += 1
+    while end - start < least and start > 0:
+        start -= 1
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+    return start, end
+
+
+def same_reading(before: str, after: str, reading: dict[str, str]) -> bool:
+    """Whether a calibrated text reads as before; ``reading`` maps words to kana and is applied longest first."""
+
+    def read(text: str) -> str:
+        for word in sorted(reading, key=len, reverse=True):
+            text = text.replace(word, reading[word])
+        return "".join(text.split())
+
+    return read(before) == read(after)
