@@ -168,3 +168,19 @@ def plain_html(c: Column) -> Column:
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(plain))
     return squeeze(out)
+
+
+#: Fixed word lists: phrases by which a page speaks of its source instead of its subject.
+FORBIDDEN_ENGLISH = ("the chapter", "the section", "the source", "the text", "the book", "the author", "according to", "it is argued that")
+FORBIDDEN_CHINESE = (
+    "按照本章", "作者认为", "作者指出", "书中认为", "书中指出", "书中提出", "这一章", "本章", "本节", "本书", "该章", "该节", "文中", "书中", "文献",
+)
+CHINESE_CHAPTER = r"第\s*(?:[0-9]+|[一二三四五六七八九十百千零〇两]+|N)\s*章"
+
+
+def forbidden(text: Column) -> Column:
+    """Array of the forbidden phrases in prose; code and citations do not count."""
+    prose = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```|~~~.*?~~~", ""), r"\[src:[^\]]*\]", "")
+    words = [F.when(prose.rlike(r"(?i)\b" + p.replace(" ", r"\s+") + r"\b"), F.lit(p)) for p in FORBIDDEN_ENGLISH]
+    signs = [F.when(F.contains(prose, F.lit(p)), F.lit(p)) for p in FORBIDDEN_CHINESE]
+    return F.array_compact(F.array(*words, *signs, F.when(prose.rlike(CHINESE_CHAPTER), F.lit("第N章"))))

@@ -99,3 +99,9 @@ def test_quote_places(spark):
     assert [a for a, _ in got[1]] == [0, 1, 2]
     assert [a for a, _ in got[2]] == [0, 4]
     assert got[3] == [(1, 2)]
+
+
+def test_forbidden(spark):
+    assert one(spark, "According  to The Book, `x`", X.forbidden) == ["the book", "according to"]
+    assert one(spark, "本书第三章 ```the text``` [src:the author]", X.forbidden) == ["本书", "第N章"]
+    assert one(spark, "plain", X.forbidden) == []
