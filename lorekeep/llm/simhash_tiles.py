@@ -237,11 +237,11 @@ def near_duplicates(
     )
 
 
-_BINS = 64
+_BINS = 128
 
 
 def _sketch(words: list[bytes], shingle: int) -> tuple[int, bytes]:
-    """(number of different shingles, one-permutation minima of their hashes, a byte for each of 64 bins; empty bins borrow)."""
+    """(number of different shingles, one-permutation minima of their hashes, a byte for each of 128 bins; empty bins borrow)."""
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
@@ -249,8 +249,8 @@ def _sketch(words: list[bytes], shingle: int) -> tuple[int, bytes]:
     else:
         starts = [0, *accumulate(len(w) + 1 for w in words)]
         hashes = np.unique(np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts, starts[shingle:])], dtype=np.uint64))
-    # Sorted hashes: the first of each bin (top six bits) is its minimum.
-    bins, first = np.unique(hashes >> np.uint64(58), return_index=True)
+    # Sorted hashes: the first of each bin (top seven bits) is its minimum.
+    bins, first = np.unique(hashes >> np.uint64(57), return_index=True)
     out = np.zeros(_BINS, dtype=np.uint8)
     filled = np.searchsorted(bins, np.arange(_BINS, dtype=np.uint64)) % len(bins)
     low = ((hashes[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
@@ -326,7 +326,7 @@ def near_copies(
     shingle: int = 5,
     similarity: float = 0.8,
     radius: int = 12,
-    agree: float = 0.7,
+    agree: float = 0.74,
     least_tile: int = 4096,
     most_tile: int = 65536,
 ) -> DataFrame:
@@ -336,7 +336,7 @@ def near_copies(
     plain tiled comparison: rows sorted by their number of shingles are cut into
     tiles; only tile pairs whose sizes can reach the similarity are compared, and of
     these only sub-tiles whose population counts are within ``radius``.  Pairs
-    within the radius are confirmed by 64-byte sketches of their shingle sets (a
+    within the radius are confirmed by 128-byte sketches of their shingle sets (a
     share of ``agree`` equal bins).  Tile pairs leave spanning links only.
 
     Null and empty texts are copies of each other.  Rows of null id are their own
