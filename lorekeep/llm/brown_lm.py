@@ -29,6 +29,8 @@ from .common import blocks, materialise, utf8
 
 #: The end token; no word holds a space.
 END = b" "
+#: Longer words are never of the head, so that its size has a bound in bytes.
+HEAD_BYTES = 64
 _FLUSH = 200_000
 _BANDS_PER_OCTAVE = 1
 
@@ -128,7 +130,7 @@ class BrownModel:
     emission: np.ndarray  # head id -> log10 P(word | class)
     train_tokens: int
     vocabulary: int
-    tail_cut: int  # words counted fewer times are of the tail
+    tail_cut: int  # words counted fewer times are of the tail, as are those over HEAD_BYTES bytes
     tail_logs: list[float]  # by band, log10 P(word of count c | tail) = tail_logs[band(c)] + log10(max(c, 1))
 
 
@@ -169,6 +171,10 @@ def _bigrams(docs: DataFrame, text_col: str, head: dict[bytes, int], row_of: np.
     return grid.reshape(size, size)
 
 
+def _is_head(cut: int) -> Column:
+    return (F.col("c") >= cut) & (F.octet_length("word") <= HEAD_BYTES)
+
+
 def fit(
     train: DataFrame,
     text_col: str = "text",
@@ -196,7 +202,7 @@ def fit(
         cut = r["least"]
     end = counts.filter(F.col("word") == F.lit(END)).first()
     cut = max(least_head_count, cut) if cut else (1 << 62)
-    in_head = (F.col("c") >= cut) & (F.col("word") != F.lit(END))
+    in_head = _is_head(cut) & (F.col("word") != F.lit(END))
     top = counts.filter(in_head).toArrow()
     words, c = top.column("word").to_pylist(), top.column("c").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-c[i], words[i]))
@@ -225,7 +231,7 @@ def fit(
     emission = np.log10(weight / np.bincount(symbol, weights=weight, minlength=k)[symbol])
 
     # The tail: mass of each band from leave-one-out counts, shared within by count.
-    tail = counts.filter((F.col("c") < cut) & (F.col("word") != F.lit(END)))
+    tail = counts.filter(~_is_head(cut) & (F.col("word") != F.lit(END)))
     own = {r["b"]: r["s"] for r in tail.groupBy(band(F.col("c")).alias("b")).agg(F.sum("c").alias("s")).collect()}
     left = {r["b"]: r["s"] for r in tail.groupBy(band(F.col("c") - 1).alias("b")).agg(F.sum("c").alias("s")).collect()}
     own[0] = 1
@@ -291,7 +297,7 @@ def score(
     rest = (
         parts.filter("word IS NOT NULL")
         .select("doc_id", "h", "word", "m")
-        .join(counts.filter(F.col("c") < model.tail_cut), "word", "left")
+        .join(counts.filter(~_is_head(model.tail_cut)), "word", "left")
         .select(
             "doc_id",
             "h",

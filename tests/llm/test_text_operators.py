@@ -226,7 +226,7 @@ def test_brown_scores(spark):
     random.seed(3)
     words = [f"W{i}" for i in range(60)]
     rows = [(i, " ".join(random.choices(words, weights=[60 - k for k in range(60)], k=50)) + (f" rare{i}" if i % 3 else "")) for i in range(120)]
-    rows += [(500, None), (501, ""), (502, "Unseen UNSEEN w1 w1"), (5, rows[5][1]), (503, "a\x1cb \x85c")]
+    rows += [(500, None), (501, ""), (502, "Unseen UNSEEN w1 w1"), (5, rows[5][1]), (503, "a\x1cb \x85c"), (504, ("L" * 200 + " ") * 30)]
     docs = docs_of(spark, rows)
     train = docs.filter(~held_out("doc_id", 7, 2))
     model, counts = fit_lm(train, least_head_count=4)
