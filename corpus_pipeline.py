@@ -35,12 +35,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     classes = materialise(near_copies(docs), "dedup-classes")
     # Rows that share an id: of equal texts one stays.
-    repeated = classes.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_d"))
-    losers = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
-    kept = docs.join(losers, F.col("doc_id") == F.col("_d"), "left_anti")
+    repeated = classes.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__stage_id"))
+    losers = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__stage_id")).distinct()
+    kept = docs.join(losers, F.col("doc_id") == F.col("__stage_id"), "left_anti")
     if repeated.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_d"))
+    same = F.col("doc_id").eqNullSafe(F.col("__stage_id"))
     return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
@@ -48,8 +48,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drop documents that hold a benchmark item or a paraphrase of one."""
     ship(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = materialise(found.filter("contaminated").select(F.col("doc_id").alias("_d")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    bad = materialise(found.filter("contaminated").select(F.col("doc_id").alias("__stage_id")).distinct(), "leaks")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__stage_id")), "left_anti")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,10 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode to byte-level BPE ids and decode again: (doc_id, n_tokens, ids, ids_sha256, decoded_sha256)."""
     ship(spark)
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    # Smaller tables than alone: the executors' memory also holds what the earlier stages left in the JVM.
+    return encode_documents(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, max_states=120_000, max_words=250_000
+    )
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -274,11 +276,16 @@ def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes], block: int = 1
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def worker_encoder(key: str, ranks: bytes, pattern: str) -> Encoder:
-    """One encoder a Python worker; its tables last over tasks."""
-    if (key, pattern) not in _ENCODERS:
-        _ENCODERS[key, pattern] = Encoder(parse_ranks(ranks), pattern)
-    return _ENCODERS[key, pattern]
+def worker_encoder(key: tuple, ranks: bytes, pattern: str, **limits: int) -> Encoder:
+    """One encoder a Python worker; its tables last over tasks, until another operator runs in the worker."""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(parse_ranks(ranks), pattern, **limits)
+    return _ENCODERS[key]
+
+
+def drop_encoders() -> None:
+    _ENCODERS.clear()
 
 
 def encode_documents(
@@ -288,6 +295,8 @@ def encode_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    max_states: int = 200_000,
+    max_words: int = 400_000,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>]) of each whole text.
 
@@ -298,15 +307,15 @@ def encode_documents(
     spark: SparkSession = docs.sparkSession
     with open(rank_file, "rb") as f:
         data = f.read()
-    ranks, key = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
+    ranks, key = spark.sparkContext.broadcast(data), (hashlib.sha256(data).hexdigest(), pattern, max_states, max_words)
 
     def kernel(cols):
-        enc = worker_encoder(key, ranks.value, pattern)
+        enc = worker_encoder(key, ranks.value, pattern, max_states=max_states, max_words=max_words)
         tokens = {str(r): t for r, t in enc.fst.bytes_of.items()} if not hasattr(enc, "by_name") else enc.by_name
         enc.by_name = tokens
         n, coded, plain, all_ids = [], [], [], []
         for raw in cols["text"]:
-            a, b, count, stream, first, kept = hashlib.sha256(), hashlib.sha256(), 0, Utf8Stream(), True, []
+            a, b, count, stream, first, kept = hashlib.sha256(), hashlib.sha256(), 0, Utf8Stream(), True, array("i")
             for part in enc.spelled_parts(raw.decode()):
                 names = part.split(" ")
                 count += len(names)
@@ -314,12 +323,12 @@ def encode_documents(
                 first = False
                 b.update(stream.feed(b"".join([tokens[i] for i in names])).encode())
                 if with_ids:
-                    kept += map(int, names)
+                    kept.extend(map(int, names))
             stream.close()
             n.append(count)
             coded.append(a.hexdigest())
             plain.append(b.hexdigest())
-            all_ids.append(kept)
+            all_ids.append(np.frombuffer(kept, dtype=np.int32) if kept else np.zeros(0, np.int32))
         out = {"doc_id": cols["doc_id"], "n_tokens": n, "ids_sha256": coded, "decoded_sha256": plain}
         return out | ({"ids": all_ids} if with_ids else {})
 
@@ -329,5 +338,5 @@ def encode_documents(
         fields.append(("ids", pa.list_(pa.int32())))
         ddl += ", ids array<int>"
     return map_rows(
-        docs, [F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")], kernel, ddl, pa.schema(fields), text="text"
+        docs, [F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")], kernel, ddl, pa.schema(fields), 2 << 20, "text", ("bpe", drop_encoders)
     )

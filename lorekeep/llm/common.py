@@ -13,6 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_OWNER: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(owner: str, drop: Callable[[], None] = lambda: None) -> None:
+    """Called by an operator in a Python worker: what the operator before it keeps over tasks is dropped.
+
+    Workers outlive stages; without this the tables of one stage would stay beside those of the next.
+    """
+    if _OWNER and _OWNER[0][0] == owner:
+        return
+    if _OWNER:
+        _OWNER.pop()[1]()
+    _OWNER.append((owner, drop))
 
 
 def ship(spark: SparkSession) -> None:
@@ -88,10 +101,12 @@ def map_rows(
     arrow_schema: pa.Schema,
     block_bytes: int = 4 << 20,
     text: str | None = None,
+    owner: tuple[str, Callable[[], None]] | None = None,
 ) -> DataFrame:
     """Apply ``kernel`` to column dictionaries of Arrow blocks of at most ``block_bytes`` of ``text`` (one row at least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(*(owner or (kernel.__module__,)))
         for batch in batches:
             for block in blocks(batch, text, block_bytes):
                 out = kernel({n: block.column(i).to_pylist() for i, n in enumerate(block.schema.names)})

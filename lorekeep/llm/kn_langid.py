@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, utf8
+from .common import blocks, claim, utf8
 
 ORDER = 4
 _SPACE = 32
@@ -237,6 +237,7 @@ def build(per_lang: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n) of a partition, combined in the task."""
+    claim("langid")
     sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def out(lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -387,10 +388,11 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         m = shipped.value
         for batch in batches:
-            at = batch.schema.names.index("_text")
-            for block in blocks(batch, "_text", 4 << 20):
+            at = batch.schema.names.index("__langid_text")
+            for block in blocks(batch, "__langid_text", 4 << 20):
                 texts = block.column(at).to_pylist()
                 if m.langs:
                     _, _, rejected = m.decide(*m.entropies(texts))
@@ -398,7 +400,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 else:
                     keep = np.array([len(units(t)) > 0 for t in texts], dtype=bool)
                 yield pa.RecordBatch.from_arrays(
-                    [c for i, c in enumerate(block.columns) if i != at], names=[n for n in block.schema.names if n != "_text"]
+                    [c for i, c in enumerate(block.columns) if i != at], names=[n for n in block.schema.names if n != "__langid_text"]
                 ).filter(pa.array(keep))
 
-    return docs.withColumn("_text", utf8(text_col)).mapInArrow(run, docs.schema)
+    return docs.withColumn("__langid_text", utf8(text_col)).mapInArrow(run, docs.schema)
