@@ -164,18 +164,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in angle brackets; overlapping spans by the first's."""
     scanned = materialise(scan(docs, id_col, text_col), "pii-scan")
-    more = discovered(scanned, **options).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "extra")
+    more = discovered(scanned, **options).select(F.col("doc_id").alias("__pii_d"), F.col("h").alias("__pii_h"), F.col("extra").alias("__pii_extra"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_t", text).withColumn("_k", F.xxhash64("_t"))
-    joined = keyed.join(more, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")), "left")
-    spans = F.sort_array(F.concat(base_spans("_t"), F.coalesce("extra", F.array().cast(_SPAN))))
+    keyed = docs.withColumn("__pii_t", text).withColumn("__pii_k", F.xxhash64("__pii_t"))
+    joined = keyed.join(more, F.col(id_col).cast("long").eqNullSafe(F.col("__pii_d")) & (F.col("__pii_k") == F.col("__pii_h")), "left")
+    spans = F.sort_array(F.concat(base_spans("__pii_t"), F.coalesce("__pii_extra", F.array().cast(_SPAN))))
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in (*KINDS, "id")) + ")"
     masked = F.expr(
-        f"""CASE WHEN size(_s) = 0 THEN _t ELSE aggregate(_s, struct(0 AS pos, '' AS out),
+        f"""CASE WHEN size(__pii_s) = 0 THEN __pii_t ELSE aggregate(__pii_s, struct(0 AS pos, '' AS out),
               (acc, s) -> CASE WHEN s.end <= acc.pos THEN acc
                 WHEN s.start < acc.pos THEN struct(s.end AS pos, acc.out AS out)
-                ELSE struct(s.end AS pos, concat(acc.out, substr(_t, acc.pos + 1, s.start - acc.pos), {names}[s.rank]) AS out) END,
-              acc -> concat(acc.out, substr(_t, acc.pos + 1))) END"""
+                ELSE struct(s.end AS pos, concat(acc.out, substr(__pii_t, acc.pos + 1, s.start - acc.pos), {names}[s.rank]) AS out) END,
+              acc -> concat(acc.out, substr(__pii_t, acc.pos + 1))) END"""
     )
-    rewritten = joined.withColumn("_s", spans).withColumn("_m", masked)
-    return rewritten.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("_m"))).select(*docs.columns)
+    rewritten = joined.withColumn("__pii_s", spans).withColumn("__pii_m", masked)
+    return rewritten.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("__pii_m"))).select(*docs.columns)

@@ -226,7 +226,10 @@ def test_pipeline_stages(spark, tmp_path):
     bent[50] = "changed"
     rows += [(100, rows[3][1], "en", "s", 1), (101, " ".join(bent), "en", "s", 1), (102, "", "en", "s", 0), (103, None, None, None, None), (104, say(50) + " " + item, "en", "s", 1)]
     rows += [(105, "mail me at someone@example.com now, " + say(80), "en", "s", 1), (7, rows[7][1], "en", "s", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    # Extra columns whose names operators use inside.
+    rows = [(*r, "e", "t", 5, "c") for r in rows]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, extra string, _t string, component_id int, contaminated string"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = {}
