@@ -30,12 +30,10 @@ def resolve(links: DataFrame, aliases: DataFrame, key: Column) -> DataFrame:
     """
     owners = aliases.groupBy("norm").agg(F.count("*").alias("owners"), F.min("id").alias("o1"), F.max("id").alias("o2"))
     joined = links.withColumn("norm", key).join(owners, "norm", "left")
-    mine = links["id"]
     own = aliases.select(F.col("norm"), F.col("id"), F.lit(1).alias("is_own"))
     joined = joined.join(own, ["norm", "id"], "left")
     others = F.coalesce(F.col("owners"), F.lit(0)) - F.coalesce(F.col("is_own"), F.lit(0))
     target = F.when(F.col("o1") != F.col("id"), F.col("o1")).otherwise(F.when(F.col("o2") != F.col("id"), F.col("o2")))
-    del mine
     return joined.withColumn("others", others).withColumn("target", target).drop("owners", "o1", "o2", "is_own")
 
 

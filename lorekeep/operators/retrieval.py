@@ -57,6 +57,6 @@ def quotes_in(quotes: DataFrame, quote_id: str, quote_text: str, docs: DataFrame
     texts = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
     found = pairs.join(texts, id_col)
     # Quotes of one or two words have no inner word; they are a small, stated query set against all rows.
-    found = found.unionByName(texts.join(F.broadcast(short.limit(1000)), F.contains("_t", "_q")).select(*found.columns))
-    at = F.locate_col("_q", "_t") if hasattr(F, "locate_col") else F.expr("locate(_q, _t)")
+    found = found.unionByName(texts.join(short, F.contains("_t", "_q")).select(*found.columns))
+    at = F.expr("locate(_q, _t)")
     return found.withColumn("at", at - 1).filter("at >= 0").select(quote_id, id_col, "at", F.length("_q").alias("size"))
