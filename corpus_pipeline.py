@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bpe_transducer import encode_documents
-from lorekeep.llm.common import materialise, scratch, ship
+from lorekeep.llm.common import materialise, scratch, ship, split_by_keys
 from lorekeep.llm.kn_langid import accepted, fit
 from lorekeep.llm.latent_decontam import decontaminate
 from lorekeep.llm.pii_bootstrap import redact
@@ -37,7 +37,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows that share an id: of equal texts one stays.
     repeated = classes.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__stage_id"))
     losers = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__stage_id")).distinct()
-    kept = docs.join(losers, F.col("doc_id") == F.col("__stage_id"), "left_anti")
+    losers = materialise(losers, "dedup-losers")
+    # Only documents that may be losers meet the list of losers; the texts of the others are not shuffled.
+    clear, doubtful = split_by_keys(docs, [F.col("doc_id")], losers)
+    kept = clear.unionByName(doubtful.join(losers, F.col("doc_id") == F.col("__stage_id"), "left_anti"))
     if repeated.isEmpty():
         return kept
     same = F.col("doc_id").eqNullSafe(F.col("__stage_id"))
@@ -49,7 +52,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = materialise(found.filter("contaminated").select(F.col("doc_id").alias("__stage_id")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__stage_id")), "left_anti")
+    clear, doubtful = split_by_keys(docs, [F.col("doc_id")], bad)
+    return clear.unionByName(doubtful.join(bad, F.col("doc_id").eqNullSafe(F.col("__stage_id")), "left_anti"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

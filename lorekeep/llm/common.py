@@ -134,3 +134,26 @@ def blocks(batch: pa.RecordBatch, text: str | None, block_bytes: int) -> Iterato
         stop = max(start + 1, int(np.searchsorted(ends, before + block_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+#: Bits of the table that ``split_by_keys`` broadcasts: at most 2**18 rows of two longs.
+_TABLE_BITS = 1 << 24
+
+
+def split_by_keys(df: DataFrame, columns: list, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outside, inside): rows of ``df`` that certainly have no equal in ``keys``, and the few that may have.
+
+    ``columns`` are the key expressions over ``df``; ``keys`` has as many columns, in
+    that order.  Only a bit table of fixed size is broadcast, so that most rows need
+    no shuffle for a later join with ``keys``; a full table only makes ``inside`` larger.
+    """
+    place = lambda cs: F.pmod(F.xxhash64(*cs), F.lit(_TABLE_BITS))
+    bits = (
+        keys.select(place([F.col(c) for c in keys.columns]).alias("p"))
+        .select(F.shiftright("p", 6).alias("__word"), F.expr("shiftleft(1L, cast(p & 63 AS int))").alias("b"))
+        .groupBy("__word")
+        .agg(F.bit_or("b").alias("__bits"))
+    )
+    tagged = df.withColumn("__place", place(columns)).join(F.broadcast(bits), F.shiftright("__place", 6) == F.col("__word"), "left")
+    hit = F.coalesce(F.expr("shiftright(__bits, cast(__place & 63 AS int)) & 1 = 1"), F.lit(False))
+    return tagged.filter(~hit).select(*df.columns), tagged.filter(hit).select(*df.columns)

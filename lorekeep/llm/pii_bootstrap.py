@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, split_by_keys
 
 #: The kinds in their order.  The patterns match what the plain forms match; possessive
 #: quantifiers and look-behinds keep long runs linear and off the stack.
@@ -167,7 +167,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     more = discovered(scanned, **options).select(F.col("doc_id").alias("__pii_d"), F.col("h").alias("__pii_h"), F.col("extra").alias("__pii_extra"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn("__pii_t", text).withColumn("__pii_k", F.xxhash64("__pii_t"))
-    joined = keyed.join(more, F.col(id_col).cast("long").eqNullSafe(F.col("__pii_d")) & (F.col("__pii_k") == F.col("__pii_h")), "left")
+    # Only documents that may hold discovered spans meet the list of them; the texts of the others are not shuffled.
+    more = materialise(more, "pii-discovered")
+    clear, doubtful = split_by_keys(keyed, [F.col(id_col).cast("long"), F.col("__pii_k")], more.select("__pii_d", "__pii_h"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__pii_d")) & (F.col("__pii_k") == F.col("__pii_h"))
+    joined = clear.withColumn("__pii_extra", F.array().cast(_SPAN)).unionByName(doubtful.join(more, same, "left").drop("__pii_d", "__pii_h"))
     spans = F.sort_array(F.concat(base_spans("__pii_t"), F.coalesce("__pii_extra", F.array().cast(_SPAN))))
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in (*KINDS, "id")) + ")"
     masked = F.expr(
