@@ -11,12 +11,17 @@ a spanning forest of its links, never all pairs.
 
 Buckets above ``tile_rows`` rows are cut into sub-tiles by population count and
 hash, and the tile pairs are dealt to different tasks.
+
+``near_copies``, the pipeline's near-dedup, links by the exact Jaccard similarity of
+word shingles and uses no fingerprints.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, utf8
+from .common import blocks, map_rows, materialise, split_by_keys, utf8
 from .components import components
 
 SEED = 42
@@ -237,159 +242,219 @@ def near_duplicates(
     )
 
 
-_BINS = 128
+def _shingles(raw: bytes, shingle: int) -> list[bytes]:
+    """Word shingles of UTF-8 text, as they come; texts of at most ``shingle`` words are one, texts without words have none."""
+    words = raw.lower().split()
+    if len(words) <= shingle:
+        return [b" ".join(words)] if words else []
+    joined = b" ".join(words)
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    return [joined[s : e - 1] for s, e in zip(starts, starts[shingle:])]
 
 
-def _sketch(words: list[bytes], shingle: int) -> tuple[int, bytes]:
-    """(number of different shingles, one-permutation minima of their hashes, a byte for each of 128 bins; empty bins borrow)."""
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = np.array([digest(joined, SEED)], dtype=np.uint64)
-    else:
-        starts = [0, *accumulate(len(w) + 1 for w in words)]
-        hashes = np.unique(np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts, starts[shingle:])], dtype=np.uint64))
-    # Sorted hashes: the first of each bin (top seven bits) is its minimum.
-    bins, first = np.unique(hashes >> np.uint64(57), return_index=True)
-    out = np.zeros(_BINS, dtype=np.uint8)
-    filled = np.searchsorted(bins, np.arange(_BINS, dtype=np.uint64)) % len(bins)
-    low = ((hashes[first] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
-    out[:] = low[filled]
-    return len(hashes), out.tobytes()
-
-
-def _copy_links(radius: int, similarity: float, agree: float):
-    """Kernel over partitions sorted by (pair, side, size): spanning links of near copies."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _shingle_hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """Sorted different hashes of the shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in _shingles(raw, shingle)], dtype=np.uint64))
 
-    def flush(rows: list[tuple]) -> pa.RecordBatch | None:
-        fp, size, rep, side = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        sketch = np.concatenate([r[4] for r in rows])
-        fp = fp.view(np.uint64)
-        order = np.argsort(size, kind="stable")
-        fp, size, rep, side, sketch = fp[order], size[order], rep[order], side[order], sketch[order]
-        pop = np.bitwise_count(fp).astype(np.int16)
-        own = side.min() == side.max()
-        if own and side[0] == 1:
-            return None
-        left = np.arange(len(fp)) if own else np.flatnonzero(side == 0)
-        right = left if own else np.flatnonzero(side == 1)
-        parent = np.arange(len(fp))
-        tile = 512
-        for i in range(0, len(left), tile):
-            x = left[i : i + tile]
-            for j in range(i if own else 0, len(right), tile):
-                y = right[j : j + tile]
-                if size[y[0]] * similarity > size[x[-1]]:
-                    break
-                if size[x[0]] * similarity > size[y[-1]] or pop[x].min() - pop[y].max() > radius or pop[y].min() - pop[x].max() > radius:
-                    continue
-                a, b = np.nonzero(np.bitwise_count(fp[x][:, None] ^ fp[y][None, :]) <= radius)
-                a, b = x[a], y[b]
-                live = (parent[a] != parent[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
-                a, b = a[live], b[live]
-                for lo in range(0, len(a), 1 << 16):
-                    u, v = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-                    same = (sketch[u] == sketch[v]).mean(axis=1) >= agree
-                    if same.any():
-                        parent = _merge(parent, u[same], v[same])
-        moved = parent != np.arange(len(parent))
-        if not moved.any():
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[parent[moved]])], schema=schema)
+
+def prefix_length(size: int, similarity: float) -> int:
+    """So many first elements, in any common order, of sets of this size cannot all be missing from a set that similar."""
+    return size - ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+_ROWS = 1 << 16
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole runs of equal first values, of batches sorted by it, and the length of each run."""
+    held: list[np.ndarray] | None = None
+
+    def out(cols):
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1, [len(cols[0])]])
+        return cols, np.diff(edges)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
+        change = np.flatnonzero(np.diff(cols[0]))
+        if len(change):
+            yield out([c[: change[-1] + 1] for c in cols])
+            cols = [c[change[-1] + 1 :] for c in cols]
+        held = cols
+    if held is not None:
+        yield out(held)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, id, size) sorted by token -> (token, id, size, n) of the tokens of several rows, n of them."""
+    for cols, lengths in _whole_runs(batches):
+        n = np.repeat(lengths, lengths)
+        keep = n > 1
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in cols), pa.array(n[keep])], names=["token", "id", "size", "n"])
+
+
+def _pairs(similarity: float, seed: int | None):
+    """Kernel over (token, id, size, comp, extra) sorted by token: pairs of a token, not of one component, whose sizes allow the similarity.
+
+    ``short`` is how many tokens such a pair must share here: with c shared in both
+    prefixes, at most c and what one of them has behind its prefix are shared in
+    all; ``extra`` bounds the prefix tokens that are not among these rows.  With a
+    seed only pairs with one row of each token, the least by a seeded hash.
+    """
+    fields = [("a", pa.int64()), ("b", pa.int64()), ("short", pa.int64())]
+
+    def pairs(cols, i, j):
+        _, ids, size, comp, extra = cols
+        near = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6)
+        i, j = i[near], j[near]
+        behind = np.ceil(similarity * np.maximum(size[i], size[j]) - 1e-9) - 1
+        need = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9) - behind
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), need.astype(np.int64) - np.minimum(extra[i], extra[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
+        schema = pa.schema(fields)
+        for cols, lengths in _whole_runs(batches):
+            at = np.arange(len(cols[0]))
+            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            ends = starts + np.repeat(lengths, lengths)
+            if seed is not None:
+                mixed = (cols[1].view(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+                found = [pairs(cols, np.lexsort((mixed, starts))[starts], at)]
+            else:
+                found = []
+                for step in range(1, int(lengths.max())):
+                    at = at[at + step < ends[at]]
+                    found.append(pairs(cols, at, at + step))
+                    if sum(len(f[0]) for f in found) >= _ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=schema)
+                        found = []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=schema)
+
+    return run
+
+
+def _confirmed(similarity: float, shingle: int):
+    """Kernel over (a, b, text of a, text of b): pairs whose shingle sets have that Jaccard similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, frozenset[bytes]] = {}
+
+        def shingles(raw: bytes) -> frozenset[bytes]:
+            if (found := known.get(raw)) is None:
+                if len(known) >= 256:
+                    known.clear()
+                found = known[raw] = frozenset(_shingles(raw, shingle))
+            return found
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pair, side, size, fp, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint8).reshape(-1, _BINS)
-            bounds = [0, *(np.flatnonzero(np.diff(pair)) + 1).tolist(), len(pair)]
-            for lo, hi in zip(bounds, bounds[1:]):
-                if pair[lo] != last:
-                    if held and (out := flush(held)) is not None:
-                        yield out
-                    last, held = pair[lo], []
-                held.append((fp[lo:hi], size[lo:hi], rep[lo:hi], side[lo:hi], sketch[lo:hi]))
-        if held and (out := flush(held)) is not None:
-            yield out
+            for block in blocks(batch, "x", 4 << 20):
+                keep = []
+                for x, y in zip(block.column(2).to_pylist(), block.column(3).to_pylist()):
+                    s, t = shingles(x), shingles(y)
+                    common = len(s & t)
+                    keep.append(common >= similarity * (len(s) + len(t) - common) - 1e-9)
+                keep = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([block.column(0).filter(keep), block.column(1).filter(keep)], schema=schema)
 
     return run
 
 
+def _common_shingles(texts: DataFrame, shingle: int, least_docs: int = 8192, part: int = 32, most: int = 1 << 18) -> np.ndarray:
+    """Sorted hashes of shingles that are common in a sample of texts: they only go last in the order of prefixes."""
+    rate = int(min(1.0, max(least_docs / max(texts.count(), 1), 1 / part)) * (1 << 30))
+
+    def kernel(cols):
+        found, n = np.unique(np.concatenate([_shingle_hashes(t, shingle) for t in cols["text"]]), return_counts=True)
+        return {"token": found.view(np.int64), "n": n}
+
+    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+    taken = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < rate)
+    counts = map_rows(taken, [F.col("text")], kernel, "token long, n long", schema, text="text").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 2")
+    return np.sort(counts.orderBy(F.desc("n"), "token").limit(most).toArrow().column("token").to_numpy().view(np.uint64))
+
+
 def near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vote_shingle: int = 3,
     shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 12,
-    agree: float = 0.74,
-    least_tile: int = 4096,
-    most_tile: int = 65536,
+    least_tile: int = 8,
+    leader_rounds: int = 2,
 ) -> DataFrame:
-    """(doc_id, component_id) of every document: near copies at a Jaccard similarity of about ``similarity`` of word shingles.
+    """(doc_id, component_id) of every document: closure of the pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` at least.
 
-    At that similarity SimHash distances pass what buckets can find, so this is the
-    plain tiled comparison: rows sorted by their number of shingles are cut into
-    tiles; only tile pairs whose sizes can reach the similarity are compared, and of
-    these only sub-tiles whose population counts are within ``radius``.  Pairs
-    within the radius are confirmed by 128-byte sketches of their shingle sets (a
-    share of ``agree`` equal bins).  Tile pairs leave spanning links only.
+    Nothing is missed and nothing estimated: sets that similar share one of their
+    first elements in any common order (``prefix_length``), so of the documents that
+    meet under such a shingle all pairs that share enough of them (``_pairs``) are
+    candidates, and each candidate pair is confirmed on its texts.  The order is by hash, shingles that a sample found
+    common last, so that they seldom are in a prefix.  Where more than
+    ``least_tile`` documents meet, they are first compared with one of them,
+    ``leader_rounds`` times; then only pairs of different components are left.
 
     Null and empty texts are copies of each other.  Rows of null id are their own
-    class unless copies with an id exist; repeated ids keep one row each.
+    class unless documents of the same shingles with an id exist; rows that share an
+    id are one node and keep one row each.
     """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle))
 
     def kernel(cols):
-        fps, sizes, sketches = [], [], []
+        last, keys, sizes, prefixes = common.value, [], [], []
         for raw in cols["text"]:
-            fps.append(simhash64(raw, vote_shingle))
-            n, s = _sketch(raw.lower().split(), shingle)
-            sizes.append(n)
-            sketches.append(s)
-        return {"doc_id": cols["doc_id"], "fp": np.array(fps, dtype=np.uint64).view(np.int64), "size": sizes, "sketch": sketches}
-
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary())])
-    prints = map_rows(
-        docs, [F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")], kernel, "doc_id long, fp long, size int, sketch binary", schema, text="text"
-    )
+            h = _shingle_hashes(raw, shingle)
+            keys.append(blake2b(h.tobytes(), digest_size=16).digest())
+            sizes.append(len(h))
+            if len(last):
+                late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
+                h = np.concatenate([h[~late], h[late]])
+            prefixes.append(h[: prefix_length(len(h), similarity)].view(np.int64))
+        return {"doc_id": cols["doc_id"], "key": keys, "size": sizes, "prefix": prefixes}
+
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    prints = map_rows(texts, [F.col("doc_id"), F.col("text")], kernel, "doc_id long, key binary, size int, prefix array<long>", schema, text="text")
     prints = materialise(prints, "copies-prints")
-    keys = ["fp", "size", "sketch"]
-    distinct = materialise(prints.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies-distinct")
-    rows = distinct.filter("rep IS NOT NULL").withColumn("place", F.col("size").cast("long") * (1 << 20) + F.pmod(F.xxhash64("fp"), F.lit(1 << 20)))
-    n = rows.count()
-    tile = min(most_tile, max(least_tile, n // 24))
-    tiles = max(1, -(-n // tile))
-    cuts = []
-    if tiles > 1:
-        got = rows.agg(F.percentile_approx("place", [i / tiles for i in range(1, tiles)], 20 * tiles).alias("q")).first()["q"]
-        cuts = sorted(set(got))
-    low = [0, *(c >> 20 for c in cuts)]
-    high = [*(c >> 20 for c in cuts), 1 << 40]
-    last = [max(u for u in range(t, len(low)) if low[u] * similarity <= high[t]) for t in range(len(low))]
-    first = [min(t for t in range(u + 1) if last[t] >= u) for u in range(len(low))]
-    own = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c < F.col("place"))) if cuts else F.lit(0)
-    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
-    placed = rows.withColumn("t", own)
-    width = len(low)
-    pairs = F.concat(
-        F.transform(F.sequence(F.col("t"), F.get(lit(last), F.col("t"))), lambda u: F.struct((F.col("t") * width + u).alias("pair"), F.lit(0).alias("side"))),
-        F.transform(
-            F.filter(F.sequence(F.get(lit(first), F.col("t")), F.col("t")), lambda v: v < F.col("t")),
-            lambda v: F.struct((v * width + F.col("t")).alias("pair"), F.lit(1).alias("side")),
-        ),
-    )
-    dealt = placed.select(F.explode(pairs).alias("p"), "size", "fp", "rep", "sketch").select("p.pair", "p.side", "size", "fp", "rep", "sketch")
-    dealt = dealt.repartition(max(1, min(4 * len(low) * 2, 2000)), "pair").sortWithinPartitions("pair", "side", "size")
-    labels = components(dealt.mapInArrow(_copy_links(radius, similarity, agree), "a long, b long"), "a", "b")
+    # Equal sets are one class; only its representative meets others.
+    distinct = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
+    distinct = materialise(distinct, "copies-distinct")
+    tokens = distinct.filter("rep IS NOT NULL").select(F.explode("prefix").alias("token"), F.col("rep").alias("id"), "size")
+    met = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, size int, n long")
+    met = materialise(met, "copies-met")
+    crowd = F.col("n") > least_tile
+    each = met.groupBy("id").agg(F.count_if(crowd).alias("crowded"), F.count_if(~crowd).alias("plain"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "copies-pairs")
+        ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "copies-ends")
+        _, some = split_by_keys(texts, [F.col("doc_id")], ends)
+        some = materialise(some.join(ends, F.col("doc_id") == F.col("id"), "left_semi"), "copies-texts")
+        both = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+        return materialise(both.select("a", "b", "x", "y").mapInArrow(_confirmed(similarity, shingle), "a long, b long"), "copies-links")
+
+    def candidates(rows: DataFrame, labels: DataFrame | None, extra: str, seed: int | None) -> DataFrame:
+        comp = F.col("id") if labels is None else F.coalesce("component", "id")
+        rows = rows.join(each, "id")
+        rows = rows if labels is None else rows.join(labels, rows["id"] == labels["node"], "left")
+        rows = rows.select("token", "id", "size", comp.alias("comp"), F.col(extra).alias("extra")).repartition("token").sortWithinPartitions("token")
+        found = rows.mapInArrow(_pairs(similarity, seed), "a long, b long, short long").filter("a <> b").groupBy("a", "b")
+        return found.agg(F.count("*").alias("c"), F.min("short").alias("short")).filter(F.lit(seed is not None) | (F.col("c") >= F.col("short"))).select("a", "b")
+
+    links = confirm(candidates(met.filter(~crowd), None, "crowded", None))
+    labels = components(links, "a", "b")
+    crowded = met.filter(crowd)
+    if not crowded.isEmpty():
+        for seed in [*range(leader_rounds), None]:
+            links = links.unionByName(confirm(candidates(crowded, labels, "plain", seed)))
+            labels = components(links, "a", "b")
     classes = (
         distinct.join(labels, distinct["rep"] == labels["node"], "left")
         .filter((F.col("copies") > 1) | F.col("component").isNotNull())
-        .select(*keys, F.coalesce("component", "rep").alias("component"), F.lit(True).alias("found"))
+        .select("key", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("found"))
     )
-    return prints.join(classes, keys, "left").select(
+    return prints.join(classes, "key", "left").select(
         "doc_id", F.when(F.col("found"), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -100,6 +100,40 @@ def test_near_copies_find_what_jaccard_finds(spark):
     assert all(got[i] // 100 == i // 100 for i, _ in rows if i < 9000)
 
 
+def test_near_copies_are_exactly_the_pairs_of_that_jaccard(spark):
+    from lorekeep.llm.simhash_tiles import near_copies
+
+    def jaccard(x, y):
+        s, t = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x, y))
+        return len(s & t) / len(s | t)
+
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(5000)]
+    line = "this line is in very many of the documents of the corpus".split()
+    texts = []
+    for n, edits in ((50, (1, 1, 2)), (100, (1, 2, 3)), (1000, (10, 22, 26, 30))):
+        for _ in range(30):
+            base = line + [rng.choice(words) for _ in range(n)]
+            texts.append(base)
+            for k in edits:
+                bent = list(base)
+                for at in rng.sample(range(len(line), len(bent)), k):
+                    bent[at] = "changed"
+                texts.append(bent)
+    # A crowd of near copies around one text, some of them too far from most others.
+    base = [rng.choice(words) for _ in range(120)]
+    for k in range(70):
+        bent = list(base)
+        for at in rng.sample(range(120), 1 + k % 3):
+            bent[at] = f"own{k}"
+        texts.append(bent)
+    near = np.array([[jaccard(x, y) >= 0.8 if abs(len(x) - len(y)) < 30 else False for y in texts] for x in texts])
+    want = closure(list(range(len(texts))), near)
+    for options in ({}, {"least_tile": 2}):
+        got = dict(tuple(r) for r in near_copies(docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), **options).collect())
+        assert [got[i] for i in range(len(texts))] == want.tolist()
+
+
 def test_decontamination(spark):
     from lorekeep.llm.latent_decontam import decontaminate, lcs_length
 
