@@ -178,6 +178,46 @@ def brute_top_k(rows, k, modulus):
     return {q: [(i, -s) for s, i in v] for q, v in out.items()}
 
 
+def test_decontamination_misses_no_length_or_paraphrase(spark):
+    from lorekeep.llm.latent_decontam import decontaminate, lcs_length
+
+    def rule(words, item):
+        """The rule of the operator over the region of every passage."""
+        m, masks = len(item), {}
+        for i, w in enumerate(item):
+            masks[w] = masks.get(w, 0) | 1 << i
+        for first in range(-(-len(words) // 16)):
+            region = words[max(0, 16 * first - m) : 16 * (first + 2) + m]
+            if sum(masks[w].bit_count() for w in masks.keys() & set(region)) < 0.5 * m:
+                continue
+            share = lcs_length(masks, m, region) / m
+            if share >= 0.75 or share >= 0.5 and " " + " ".join(item[-5:]) + " " in " " + " ".join(region) + " ":
+                return True
+        return False
+
+    rng = random.Random(77)
+    rare = [f"word{i}" for i in range(3000)]
+    common = [f"of{i}" for i in range(40)]
+    say = lambda n: [rng.choice(common if rng.random() < 0.6 else rare) for _ in range(n)]
+    items = [(k, say(n)) for k, n in enumerate([5] * 12 + [8] * 12 + [20] * 12 + [50] * 12 + [600] * 6)]
+    rows, leaks = [(i, " ".join(say(rng.randint(50, 900)))) for i in range(30)], {}
+    for k, w in items:
+        rows.append((1000 + k, " ".join(say(400) + w + say(300))))  # as it stands
+        leaks[1000 + k] = k
+        if 20 <= len(w) <= 50:
+            half = set(rng.sample(range(len(w) - 5), len(w) // 2 - 5)) | set(range(len(w) - 5, len(w)))
+            bent = [x if i in half else "other" for i, x in enumerate(w)]
+            rows.append((2000 + k, " ".join(say(300) + bent + say(300))))  # half the words and the answer
+            gone = set(range(len(w) - 1, -1, -4)[: len(w) // 4])
+            bent = [x for i, x in enumerate(w) for x in (["other", "thing"] if i in gone else [x])]
+            rows.append((3000 + k, " ".join(say(300) + bent + say(300))))  # three quarters in order, no answer
+            leaks |= {2000 + k: k, 3000 + k: k}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate(docs_of(spark, rows), bench).collect()}
+    assert [d for d, k in leaks.items() if k not in got[d]] == []
+    assert got == {i: [k for k, w in items if rule(t.split(), w)] for i, t in rows}
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_top_k_matches_brute_force(spark, block):
     from lorekeep.llm.pivot_topk import top_k
