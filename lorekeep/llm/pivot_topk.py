@@ -137,7 +137,8 @@ class PivotIndex:
                     continue
                 pivot, dist, vec = (batch.column(i).to_numpy() for i in range(3))
                 x = _matrix(batch.column(3))
-                cuts = np.flatnonzero(np.diff(pivot)) + 1
+                # A batch may run over several files, in any order: distances fall where a new one begins.
+                cuts = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(dist) < 0)) + 1
                 edges = np.unique(np.concatenate([np.arange(0, len(vec), _ANNULUS), cuts, [len(vec)]]))
                 annuli = [(lo, hi, np.maximum(0, np.maximum(away[:, pivot[lo]] - dist[hi - 1], dist[lo] - away[:, pivot[lo]]))) for lo, hi in zip(edges, edges[1:])]
                 for lo, hi, bound in sorted(annuli, key=lambda a: float(a[2].mean())):

@@ -238,6 +238,25 @@ def test_top_k_matches_brute_force(spark, block):
     assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2), (50, 1), (50, 2)]
 
 
+def test_top_k_of_an_index_in_files_of_falling_distance(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lorekeep.llm.pivot_topk import PivotIndex
+
+    rng = np.random.default_rng(5)
+    turn = rng.permutation(600) / 200
+    v = (np.stack([np.cos(turn), np.sin(turn)], axis=1) * 100_000).astype(int)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, v array<long>").cache()
+    index = PivotIndex(rows, 1, 64)
+    # What a scan may see: files of one pivot, the farther one first, in one batch.
+    parts = index.table.orderBy("dist").collect()
+    index.table = spark.createDataFrame([*parts[300:], *parts[:300]], index.table.schema).coalesce(1)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in index.search(rows.filter(F.col("vec_id") % 10 == 0), 5).collect()}
+    for q in range(0, 600, 10):
+        best = sorted((i for i in range(600) if i != q), key=lambda i: (-int(v[i] @ v[q]), i))[:5]
+        assert [got[q, k + 1] for k in range(5)] == best
+
+
 def test_warc_round_trip(spark):
     from lorekeep.llm.warc_zst import archive_pages, read_archives
 
