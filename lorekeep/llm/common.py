@@ -48,16 +48,16 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a temporary one set.
+    Where the session names none, a local master (tests, a laptop) gets a temporary
+    one; on a cluster that is an error, because executors would not see it.
     """
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = sc.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="lorekeep-shared-")
-            sc.setCheckpointDir(base)
-    elif sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lorekeep-shared-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base if "://" in base or base.startswith("file:") else "file://" + os.path.abspath(base)
 
@@ -72,22 +72,40 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the shared folder, for small iterative state."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` made, once everything computed from them is written."""
+    for table in tables:
+        delete_path(table.sparkSession, table._scratch_path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key is heavy if it holds more than this share of the rows, so that at most so many keys are.
+HEAVY_KEYS = 4096
+
+
+def skew_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with unique ``keys``, of which column ``weight`` says how many rows hold them.
+
+    Keys of more than ``total / HEAVY_KEYS`` rows, of which there are at most
+    ``HEAVY_KEYS``, are broadcast; the others meet in a shuffle that no key
+    dominates.  ``rows`` is read twice.
+    """
+    heavy = F.col(weight) * HEAVY_KEYS > total
+    hot = rows.join(F.broadcast(keys.filter(heavy)), on)
+    cold = rows.join(F.broadcast(keys.filter(heavy).select(*on)), on, "left_anti").join(keys.filter(~heavy), on)
+    return hot.unionByName(cold)
+
+
 def utf8(column: str):
     """Text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

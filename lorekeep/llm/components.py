@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, materialise
 
 
 def _stamp(edges: DataFrame):
@@ -20,20 +20,16 @@ def _star(directed: DataFrame) -> DataFrame:
     return moved.unionByName(own).filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node that has an edge; component is the least id reachable.
 
-    Nothing is collected but a count and a checksum a round; a node of very many
-    links is one skewed join key, which adaptive execution splits.  Null ends and
-    loops are ignored.
+    Rounds go on until nothing changes.  Nothing is collected but a count and a
+    checksum a round; a node of very many links is one skewed join key, which
+    adaptive execution splits.  Null ends and loops are ignored.
     """
-    e = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    )
+    e = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
     before = _stamp(e)
-    for _ in range(max_rounds):
-        if not before["n"]:
-            break
+    while before["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = (
@@ -43,7 +39,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
             .filter("u <> v")
             .distinct()
         )
-        e = cut(_star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
+        last, e = e, materialise(_star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "links")
+        discard(last)
         after = _stamp(e)
         if after == before:
             break
