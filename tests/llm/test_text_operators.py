@@ -196,6 +196,18 @@ def brute_radix(rows, window):
     return sorted(out, key=repr)
 
 
+def brute_words(rows, size):
+    """(id, words covered by repeated windows of ``size`` words)."""
+    counts, out = Counter(), []
+    for _, t in rows:
+        w = (t or "").encode().split()
+        counts.update(tuple(w[s : s + size]) for s in range(len(w) - size + 1))
+    for i, t in rows:
+        w = (t or "").encode().split()
+        out.append((i, len({k for s in range(len(w) - size + 1) if counts[tuple(w[s : s + size])] > 1 for k in range(s, s + size)})))
+    return sorted(out, key=repr)
+
+
 @pytest.mark.parametrize("window,gram,hot", [(12, 4, 4096), (20, 8, 1), (9, 8, 3)])
 def test_suffix_radix_matches_brute_force(spark, window, gram, hot):
     from lorekeep.llm.suffix_radix import remove_repeats
@@ -204,8 +216,10 @@ def test_suffix_radix_matches_brute_force(spark, window, gram, hot):
     bits = ["ab", "abc", "xyz", "q", "a", "é", "the cat", "aaaa", "bb "]
     rows = [(i, "".join(random.choice(bits) for _ in range(random.randint(0, 60)))) for i in range(40)]
     rows += [(50, None), (51, ""), (52, "ab" * 24), (None, "zzz the cat ab" * 3), (53, "hello world this is " * 5), rows[3], rows[3], (7, "a" * 40)]
-    got = remove_repeats(docs_of(spark, rows), window=window, gram=gram, hot_runs=hot)
-    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_radix(rows, window)
+    rows += [(60 + i, " ".join(random.choices(["red", "green", "blue", "one\ttwo"], k=30))) for i in range(12)]
+    got = remove_repeats(docs_of(spark, rows), window=window, gram=gram, hot_runs=hot, words=6, word_gram=2).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == brute_radix(rows, window)
+    assert sorted(((r.doc_id, r.n_repeated_words) for r in got), key=repr) == brute_words(rows, 6)
     assert remove_repeats(docs_of(spark, rows).limit(0), window=window, gram=gram).count() == 0
 
 
@@ -215,7 +229,8 @@ def test_long_texts_are_cut_into_segments_without_loss(monkeypatch):
 
     raw = bytes(random.Random(1).choices(b"abcdef", k=5000))
     monkeypatch.setattr(suffix_radix, "_SEGMENT", 700)
-    anchor, first, count, off = suffix_radix.anchor_runs(raw, 50, 8)
+    items = np.frombuffer(raw, dtype=np.uint8)
+    anchor, first, count, off = suffix_radix.anchor_runs(items, 50, 8)
     assert count.sum() == 5000 - 50 + 1 and (np.diff(first) == count[:-1]).all()
 
 
