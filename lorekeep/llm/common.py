@@ -93,16 +93,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
 HEAVY_KEYS = 4096
 
 
-def skew_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+def skew_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int, sieve: bool = False) -> DataFrame:
     """Inner join of ``rows`` with unique ``keys``, of which column ``weight`` says how many rows hold them.
 
     Keys of more than ``total / HEAVY_KEYS`` rows, of which there are at most
     ``HEAVY_KEYS``, are broadcast; the others meet in a shuffle that no key
-    dominates.  ``rows`` is read twice.
+    dominates.  ``rows`` is read twice.  With ``sieve`` only rows that a bit table of
+    the keys does not rule out are shuffled, which pays where most rows have no key.
     """
     heavy = F.col(weight) * HEAVY_KEYS > total
     hot = rows.join(F.broadcast(keys.filter(heavy)), on)
-    cold = rows.join(F.broadcast(keys.filter(heavy).select(*on)), on, "left_anti").join(keys.filter(~heavy), on)
+    light = keys.filter(~heavy)
+    cold = split_by_keys(rows, [F.col(c) for c in on], light.select(*on))[1] if sieve else rows
+    cold = cold.join(F.broadcast(keys.filter(heavy).select(*on)), on, "left_anti").join(light, on)
     return hot.unionByName(cold)
 
 

@@ -376,7 +376,7 @@ def repeated_spans(docs: DataFrame, depths: list[Depth], id_col: str = "doc_id",
     stats = stats.filter("times > 1").select("anchor", "times", ((F.col("minr1") == F.col("maxr1")) & (F.col("minr2") == F.col("maxr2"))).alias("alike"))
     stats = materialise(stats, "radix-anchors")
     total = runs.count()
-    again = materialise(skew_join(runs, stats, ["anchor"], "times", total).drop("times"), "radix-again")
+    again = materialise(skew_join(runs, stats, ["anchor"], "times", total, sieve=True).drop("times"), "radix-again")
     discard(runs, stats)
     window = F.lit(0)
     for d in depths:
