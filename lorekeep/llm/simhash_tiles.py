@@ -12,8 +12,9 @@ a spanning forest of its links, never all pairs.
 Buckets above ``tile_rows`` rows are cut into sub-tiles by population count and
 hash, and the tile pairs are dealt to different tasks.
 
-``near_copies``, the pipeline's near-dedup, links by the exact Jaccard similarity of
-word shingles and uses no fingerprints.
+``near_copies``, the pipeline's near-dedup, takes the tiles' links as its first
+candidates, confirms every link by the exact Jaccard similarity of word shingles and
+adds the similar pairs whose fingerprints are further apart.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, map_rows, materialise, split_by_keys, utf8
+from .common import blocks, discard, map_rows, materialise, skew_join, split_by_keys, utf8
 from .components import components
 
 SEED = 42
@@ -46,7 +47,14 @@ def simhash64(data: bytes, shingle: int = 3) -> int:
     if len(words) <= shingle:
         return digest(joined, SEED)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
-    hashes = np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts, starts[shingle:])], dtype=">u8")
+    return majority(np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts, starts[shingle:])], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    if not len(hashes):
+        return 0
+    hashes = hashes.astype(">u8")
     votes = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), _VOTE_ROWS):
         part = hashes[i : i + _VOTE_ROWS]
@@ -385,43 +393,56 @@ def near_copies(
     similarity: float = 0.8,
     least_tile: int = 8,
     leader_rounds: int = 2,
+    radius: int = 3,
 ) -> DataFrame:
-    """(doc_id, component_id) of every document: closure of the pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` at least.
-
-    Nothing is missed and nothing estimated: sets that similar share one of their
-    first elements in any common order (``prefix_length``), so of the documents that
-    meet under such a shingle all pairs that share enough of them (``_pairs``) are
-    candidates, and each candidate pair is confirmed on its texts.  The order is by hash, shingles that a sample found
-    common last, so that they seldom are in a prefix.  Where more than
-    ``least_tile`` documents meet, they are first compared with one of them,
-    ``leader_rounds`` times; then only pairs of different components are left.
-
-    Null and empty texts are copies of each other.  Rows of null id are their own
-    class unless documents of the same shingles with an id exist; rows that share an
-    id are one node and keep one row each.
+    """(doc_id, h, component_id, stays) of every document: closure of the pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` at least.
+
+    Nothing is missed and nothing estimated.  Fingerprints within ``radius`` bits
+    (``links``) are the first candidates.  Beyond them, sets that similar share one
+    of their first elements in any common order (``prefix_length``), so of the
+    documents that meet under such a shingle all pairs that share enough of them
+    (``_pairs``) are candidates.  Each candidate pair is confirmed on its texts.
+    The order is by hash, shingles that a sample found common last, so that they
+    seldom are in a prefix.  Where more than ``least_tile`` documents meet, they are
+    first compared with one of them, ``leader_rounds`` times; then only pairs of
+    different components are left.
+
+    Every distinct set is a node of its own, whatever the ids of its rows.  ``h``
+    is the text's xxhash64, so that (doc_id, h) names a row's content; component_id
+    is the least id of the component, null if no row of it has one; ``stays`` is
+    true for the rows of one (doc_id, h) of each component: the least, null ids
+    last.  Null and empty texts are copies of each other.  Rows repeated with id
+    and text keep one row each.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle))
 
     def kernel(cols):
-        last, keys, sizes, prefixes = common.value, [], [], []
+        last, keys, sizes, prefixes, prints = common.value, [], [], [], []
         for raw in cols["text"]:
             h = _shingle_hashes(raw, shingle)
             keys.append(blake2b(h.tobytes(), digest_size=16).digest())
             sizes.append(len(h))
+            prints.append(majority(h))
             if len(last):
                 late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
                 h = np.concatenate([h[~late], h[late]])
             prefixes.append(h[: prefix_length(len(h), similarity)].view(np.int64))
-        return {"doc_id": cols["doc_id"], "key": keys, "size": sizes, "prefix": prefixes}
-
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-    prints = map_rows(texts, [F.col("doc_id"), F.col("text")], kernel, "doc_id long, key binary, size int, prefix array<long>", schema, text="text")
-    prints = materialise(prints, "copies-prints")
-    # Equal sets are one class; only its representative meets others.
-    distinct = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
-    distinct = materialise(distinct, "copies-distinct")
-    tokens = distinct.filter("rep IS NOT NULL").select(F.explode("prefix").alias("token"), F.col("rep").alias("id"), "size")
+        fps = np.array(prints, dtype=np.uint64).view(np.int64)
+        return {"doc_id": cols["doc_id"], "h": cols["h"], "key": keys, "size": sizes, "fp": fps, "prefix": prefixes}
+
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    ddl = "doc_id long, h long, key binary, size int, fp long, prefix array<long>"
+    prints = materialise(map_rows(texts, [F.col("doc_id"), F.xxhash64("text").alias("h"), F.col("text")], kernel, ddl, schema, text="text"), "copies-prints")
+    # Equal sets are one node; only its representative meets others.
+    of_null = F.col("doc_id").isNull().alias("none")
+    distinct = prints.groupBy("key").agg(
+        F.min(F.struct(of_null, "doc_id", "h")).alias("rep"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "fp", "prefix")]
+    )
+    distinct = materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "copies-distinct")
+    rows = materialise(prints.select("doc_id", "h", "key"), "copies-rows")
+    discard(prints)
+    tokens = distinct.select(F.explode("prefix").alias("token"), "id", "size")
     met = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, size int, n long")
     met = materialise(met, "copies-met")
     crowd = F.col("n") > least_tile
@@ -429,32 +450,49 @@ def near_copies(
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "copies-pairs")
-        ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "copies-ends")
-        _, some = split_by_keys(texts, [F.col("doc_id")], ends)
-        some = materialise(some.join(ends, F.col("doc_id") == F.col("id"), "left_semi"), "copies-texts")
-        both = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-        return materialise(both.select("a", "b", "x", "y").mapInArrow(_confirmed(similarity, shingle), "a long, b long"), "copies-links")
-
-    def candidates(rows: DataFrame, labels: DataFrame | None, extra: str, seed: int | None) -> DataFrame:
-        comp = F.col("id") if labels is None else F.coalesce("component", "id")
+        ends = materialise(
+            pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", "rep.*"), "id").select("id", F.col("doc_id").alias("d"), F.col("h").alias("x")),
+            "copies-ends",
+        )
+        # Of rows repeated with id and text one is enough.
+        own = texts.withColumn("h", F.xxhash64("text"))
+        _, some = split_by_keys(own, [F.col("doc_id"), F.col("h")], ends.select("d", "x"))
+        some = some.groupBy("doc_id", "h").agg(F.any_value("text").alias("text")).join(ends, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x"))).select("id", "text")
+        some = materialise(some, "copies-texts")
+        both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        links = materialise(both.select("a", "b", "x", "y").mapInArrow(_confirmed(similarity, shingle), "a long, b long"), "copies-links")
+        discard(pairs, ends, some)
+        return links
+
+    def candidates(rows: DataFrame, labels: DataFrame, extra: str, seed: int | None) -> DataFrame:
         rows = rows.join(each, "id")
-        rows = rows if labels is None else rows.join(labels, rows["id"] == labels["node"], "left")
-        rows = rows.select("token", "id", "size", comp.alias("comp"), F.col(extra).alias("extra")).repartition("token").sortWithinPartitions("token")
+        rows = rows.join(labels, rows["id"] == labels["node"], "left")
+        rows = rows.select("token", "id", "size", F.coalesce("component", "id").alias("comp"), F.col(extra).alias("extra")).repartition("token").sortWithinPartitions("token")
         found = rows.mapInArrow(_pairs(similarity, seed), "a long, b long, short long").filter("a <> b").groupBy("a", "b")
         return found.agg(F.count("*").alias("c"), F.min("short").alias("short")).filter(F.lit(seed is not None) | (F.col("c") >= F.col("short"))).select("a", "b")
 
-    links = confirm(candidates(met.filter(~crowd), None, "crowded", None))
-    labels = components(links, "a", "b")
+    near = links(distinct.groupBy("fp").agg(F.min("id").alias("rep")).select("fp", "rep"), radius)
+    twins = distinct.select("id", F.min("id").over(Window.partitionBy("fp")).alias("first")).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    found = confirm(near.unionByName(twins).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = components(found, "a", "b")
+    found = found.unionByName(confirm(candidates(met.filter(~crowd), labels, "crowded", None)))
+    labels = components(found, "a", "b")
     crowded = met.filter(crowd)
     if not crowded.isEmpty():
         for seed in [*range(leader_rounds), None]:
-            links = links.unionByName(confirm(candidates(crowded, labels, "plain", seed)))
-            labels = components(links, "a", "b")
-    classes = (
-        distinct.join(labels, distinct["rep"] == labels["node"], "left")
-        .filter((F.col("copies") > 1) | F.col("component").isNotNull())
-        .select("key", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("found"))
-    )
-    return prints.join(classes, "key", "left").select(
-        "doc_id", F.when(F.col("found"), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+            found = found.unionByName(confirm(candidates(crowded, labels, "plain", seed)))
+            labels = components(found, "a", "b")
+    # A node's component, and the least row of each component.
+    nodes = distinct.join(labels, distinct["id"] == labels["node"], "left").select("key", "rep", "copies", F.coalesce("component", "id").alias("component"))
+    nodes = materialise(nodes, "copies-nodes")
+    best = nodes.groupBy("component").agg(F.min("rep").alias("best"), F.sum("copies").alias("n"), F.count("*").alias("k")).filter("n > 1")
+    total = nodes.count()
+    several = skew_join(nodes.select("key", "component", "copies"), materialise(best, "copies-best"), ["component"], "k", total)
+    several = materialise(several.select("key", "best", "copies"), "copies-several")
+    discard(distinct, met, nodes)
+    n = rows.count()
+    grouped = skew_join(rows, several, ["key"], "copies", n, sieve=True).select(
+        "doc_id", "h", F.col("best.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))).alias("stays")
     )
+    alone = rows.join(several.select("key"), "key", "left_anti").select("doc_id", "h", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return grouped.unionByName(alone)
