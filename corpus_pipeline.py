@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bpe_transducer import encode_documents
-from lorekeep.llm.common import materialise, scratch, ship, split_by_keys
+from lorekeep.llm.common import delete_path, materialise, scratch, ship, split_by_keys
 from lorekeep.llm.kn_langid import accepted, fit
 from lorekeep.llm.latent_decontam import decontaminate
 from lorekeep.llm.pii_bootstrap import redact
@@ -31,29 +31,44 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies stays: that with the least id."""
+    """One row of each group of exact and near copies stays: that with the least id, null ids last.
+
+    Groups are of texts, so rows that share an id but not the text are judged apart;
+    of rows with equal id and text one stays.  Null texts count as empty.
+    """
     ship(spark)
     classes = materialise(near_copies(docs), "dedup-classes")
-    # Rows that share an id: of equal texts one stays.
-    repeated = classes.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__stage_id"))
-    losers = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__stage_id")).distinct()
-    losers = materialise(losers, "dedup-losers")
-    # Only documents that may be losers meet the list of losers; the texts of the others are not shuffled.
-    clear, doubtful = split_by_keys(docs, [F.col("doc_id")], losers)
-    kept = clear.unionByName(doubtful.join(losers, F.col("doc_id") == F.col("__stage_id"), "left_anti"))
-    if repeated.isEmpty():
+    gone = classes.filter("NOT stays").select(F.col("doc_id").alias("__stage_id"), F.col("h").alias("__stage_h")).distinct()
+    gone = materialise(gone, "dedup-losers")
+    again = classes.filter("stays").groupBy("doc_id", "h").count().filter("count > 1")
+    again = materialise(again.select(F.col("doc_id").alias("__stage_id"), F.col("h").alias("__stage_h")), "dedup-repeated")
+    kept = without(docs, gone)
+    if again.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("__stage_id"))
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    # Rows repeated with id and text: one of them, whichever comes first.
+    clear, doubtful = split_by_keys(kept, KEY, again)
+    once = doubtful.withColumn("__stage_h", TEXT_HASH).dropDuplicates(["doc_id", "__stage_h"]).drop("__stage_h")
+    return clear.unionByName(once)
+
+
+#: A row is named by its id and its text's hash; null texts count as empty.
+TEXT_HASH = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+KEY = [F.col("doc_id").cast("long"), TEXT_HASH]
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows named by ``gone``; only rows that may be in that list meet it, the other texts are not shuffled."""
+    clear, doubtful = split_by_keys(docs, KEY, gone)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__stage_id")) & (TEXT_HASH == F.col("__stage_h"))
+    return clear.unionByName(doubtful.join(gone, same, "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item or a paraphrase of one."""
+    """Drop documents that hold a benchmark item or a paraphrase of one; rows that only share an id with one stay."""
     ship(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = materialise(found.filter("contaminated").select(F.col("doc_id").alias("__stage_id")).distinct(), "leaks")
-    clear, doubtful = split_by_keys(docs, [F.col("doc_id")], bad)
-    return clear.unionByName(doubtful.join(bad, F.col("doc_id").eqNullSafe(F.col("__stage_id")), "left_anti"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("__stage_id"), F.col("h").alias("__stage_h")).distinct()
+    return without(docs, materialise(bad, "leaks"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +82,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     # Smaller tables than alone: the executors' memory also holds what the earlier stages left in the JVM.
     return encode_documents(
-        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, max_states=120_000, max_words=250_000
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, max_states=60_000, max_words=150_000
     )
 
 
@@ -82,9 +97,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs
