@@ -6,12 +6,12 @@ Kneser-Ney model (continuation counts below the top order).  All languages share
 one sorted array of hashed keys per order, with a directory over the top bits, and
 a row of log probabilities for each key, so one probe scores every language.  The
 prediction is the language of the lowest cross-entropy per character; a
-temperature and per-model rejection limits come from a held-back part of the
-training sample.
+temperature and a rejection limit for each language come from a held-back part of
+the training sample.
 
 The model is fitted on a bounded sample: at most about ``docs_per_lang`` whole
-texts of each language and ``max_grams`` 4-grams of each language.  Prediction
-reads every whole text.
+texts and ``chars_per_lang`` characters of each language; every 4-gram of it counts.
+Prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, claim, utf8
+from .common import blocks, claim, in_arrow, utf8
 
 ORDER = 4
 _SPACE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LUT: list[np.ndarray] = []
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+_RANDOM = float(np.log(27))
 
 
 def letter_table() -> np.ndarray:
@@ -40,7 +41,9 @@ def letter_table() -> np.ndarray:
         for c in range(0x110000):
             ch = chr(c)
             if ch.isalpha():
-                lut[c] = ord(ch.lower()[0]) & 0xFFFF or 1
+                low = ord(ch.lower()[0])
+                # Letters beyond 16 bits share the private units, which no other letter has.
+                lut[c] = low if low < 0x10000 else 0xE000 + low % 0x1900
         _LUT.append(lut)
     return _LUT[0]
 
@@ -102,7 +105,7 @@ class Model:
     logp: list[np.ndarray]  # by order: (keys, langs)
     contexts: list[HashArray]  # contexts of order 1..3
     backoff: list[np.ndarray]
-    floor: float
+    floor: np.ndarray  # by language, of a unit it never saw
     temperature: float = 10.0
     limits: list[float] | None = None  # rejection limit of each language's cross-entropy
 
@@ -125,7 +128,7 @@ class Model:
         out[hit] += self.logp[n - 1][pos[hit]]
         miss = np.flatnonzero(~hit)
         if len(miss):
-            out[miss] += self._lower(keys[miss], n - 1) if n > 1 else np.float32(self.floor)
+            out[miss] += self._lower(keys[miss], n - 1) if n > 1 else self.floor
         return out
 
     def entropies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +208,7 @@ def build(per_lang: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """Merge the languages' models into shared arrays; every key gets every language's probability."""
     langs, floor = sorted(per_lang), -16 * float(np.log(2))
     parts = [_kneser_ney(*per_lang[x], floor) for x in langs]
+    unseen = np.array([np.log(p[1][-1]) + floor for p in parts], dtype=np.float32)
     contexts, backoff, arrays, logp = [], [], [], []
     for n in range(1, ORDER):
         every = np.unique(np.concatenate([p[1][n - 1][0] for p in parts]))
@@ -221,18 +225,18 @@ def build(per_lang: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         for j, p in enumerate(parts):
             keys, lp = p[0][n - 1]
             table[np.searchsorted(every, keys), j] = lp
-        model = Model(langs, arrays, logp, contexts, backoff, floor)
+        model = Model(langs, arrays, logp, contexts, backoff, unseen)
         rows, cols = np.nonzero(np.isnan(table))
         if len(rows):
             if n == 1:
-                table[rows, cols] = np.array([np.log(p[1][-1]) for p in parts])[cols] + floor
+                table[rows, cols] = unseen[cols]
             else:
                 lower = model._lower(every, n - 1)
                 table[rows, cols] = lower[rows, cols]
         array = HashArray(every)
         arrays.append(array)
         logp.append(table[array.order])
-    return Model(langs, arrays, logp, contexts, backoff, floor + float(np.log(0.5)))
+    return Model(langs, arrays, logp, contexts, backoff, unseen)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,13 +273,14 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     docs_per_lang: int = 1500,
-    max_grams: int = 400_000,
+    chars_per_lang: int = 20_000_000,
 ) -> Model:
     """Fit on a bounded sample of the labelled rows of ``docs``; a fifth of it calibrates.
 
     A row is taken by a hash of its id, at a rate that gives ``docs_per_lang`` rows
-    of each language (all, if there are fewer).  Rows with null text or language
-    take no part.  Without such rows the model knows no language.
+    and ``chars_per_lang`` characters of each language (all, if there are fewer).
+    Rows with null text or language take no part.  Without such rows the model knows
+    no language.
     """
     spark = docs.sparkSession
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -283,12 +288,14 @@ def fit(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("h"),
         utf8(text_col).alias("text"),
     )
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("chars")).collect()
+    nothing = Model([], [], [], [], [], np.zeros(0, np.float32))
     if not sizes:
-        return Model([], [], [], [], [], 0.0)
+        return nothing
     rates = F.lit(0)
-    for lang, n in sizes.items():
-        rates = F.when(F.col("lang") == lang, F.lit(int(min(1.0, docs_per_lang / n) * (1 << 30)))).otherwise(rates)
+    for r in sizes:
+        rate = min(1.0, docs_per_lang / r["n"], chars_per_lang / max(r["chars"], 1))
+        rates = F.when(F.col("lang") == r["lang"], F.lit(int(rate * (1 << 30)))).otherwise(rates)
     sample = rows.filter(F.col("h") < rates)
     held_back = F.col("h") % 5 == 0
     grams = (
@@ -298,20 +305,7 @@ def fit(
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    grams = grams.persist()
-    # The least count of each language that leaves at most max_grams 4-grams.
-    ladder = grams.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).count().collect()
-    keep = F.lit(False)
-    for lang in {r["lang"] for r in ladder}:
-        total, least = 0, 1000
-        for r in sorted((r for r in ladder if r["lang"] == lang), key=lambda r: -r["n"]):
-            total += r["count"]
-            if total > max_grams:
-                break
-            least = r["n"]
-        keep = keep | ((F.col("lang") == lang) & (F.col("n") >= least))
-    found = grams.filter(keep).toArrow()
-    grams.unpersist()
+    found = grams.toArrow()
     names = found.column("lang").to_numpy()
     keys, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
     per_lang = {}
@@ -320,14 +314,20 @@ def fit(
         order = np.argsort(keys[mine])
         per_lang[lang] = (keys[mine][order], n[mine][order])
     if not per_lang:
-        return Model([], [], [], [], [], 0.0)
+        return nothing
     model = build(per_lang)
     _calibrate(model, sample.filter(held_back))
     return model
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
-    """Temperature by log loss, rejection limits well above every entropy seen on the held-back rows."""
+    """Temperature by log loss, and for each language a rejection limit above every entropy of its held-back rows.
+
+    The limit is as far above the largest entropy as that is above the median;
+    languages of fewer than 20 such rows take that of all rows together.  Text
+    likelier than random letters (``_RANDOM``) is never rejected, for held-back rows
+    that are all alike would leave no room.
+    """
     shipped, langs = rows.sparkSession.sparkContext.broadcast(model), model.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,9 +344,9 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
     gap = h - h.min(axis=1, keepdims=True)
     losses = {t: (t * gap[np.arange(len(y)), y] + np.log(np.exp(-t * gap).sum(axis=1))).mean() for t in (1, 2, 5, 10, 20, 50, 100)}
     model.temperature = float(min(losses, key=losses.get))
-    own = h.min(axis=1)
-    # Twice the largest entropy of ordinary text, and never under 5 nats a character.
-    model.limits = [max(5.0, 2.0 * float(np.quantile(own, 0.99)))] * len(langs)
+    own = h[np.arange(len(y)), y]
+    above = lambda e: max(_RANDOM, float(2 * e.max() - np.median(e)))
+    model.limits = [above(own[y == j]) if (y == j).sum() >= 20 else above(own) for j in range(len(langs))]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,8 +373,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     [block.column(0), pa.array(lang), pa.array(score), pa.array(h.min(axis=1)), pa.array(rejected)], schema=schema
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean"
+    return in_arrow(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")),
+        run,
+        "doc_id long, lang_pred string, score double, entropy double, rejected boolean",
     )
 
 
@@ -403,4 +405,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     [c for i, c in enumerate(block.columns) if i != at], names=[n for n in block.schema.names if n != "__langid_text"]
                 ).filter(pa.array(keep))
 
-    return docs.withColumn("__langid_text", utf8(text_col)).mapInArrow(run, docs.schema)
+    return in_arrow(docs.withColumn("__langid_text", utf8(text_col)), run, docs.schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, map_rows, materialise, skew_join, split_by_keys, utf8
+from .common import blocks, discard, in_arrow, map_rows, materialise, skew_join, split_by_keys, utf8
 from .components import components
 
 SEED = 42
@@ -216,7 +216,7 @@ def links(distinct: DataFrame, radius: int = 3, blocks: int | None = None, tile_
         )
     )
     dealt = plain.unionByName(paired).repartition("combo", "key", "pair").sortWithinPartitions("combo", "key", "pair", "side", "fp")
-    return dealt.mapInArrow(_links(radius), "a long, b long")
+    return in_arrow(dealt, _links(radius), "a long, b long")
 
 
 def near_duplicates(
@@ -443,10 +443,12 @@ def near_copies(
     rows = materialise(prints.select("doc_id", "h", "key"), "copies-rows")
     discard(prints)
     tokens = distinct.select(F.explode("prefix").alias("token"), "id", "size")
-    met = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long, size int, n long")
-    met = materialise(met, "copies-met")
+    shared = in_arrow(tokens.repartition("token").sortWithinPartitions("token"), _repeated, "token long, id long, size int, n long")
+    shared = materialise(shared, "copies-shared")
     crowd = F.col("n") > least_tile
-    each = met.groupBy("id").agg(F.count_if(crowd).alias("crowded"), F.count_if(~crowd).alias("plain"))
+    each = shared.groupBy("id").agg(F.count_if(crowd).alias("crowded"), F.count_if(~crowd).alias("plain"))
+    met = materialise(shared.join(each, "id"), "copies-met")
+    discard(shared)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "copies-pairs")
@@ -460,15 +462,14 @@ def near_copies(
         some = some.groupBy("doc_id", "h").agg(F.any_value("text").alias("text")).join(ends, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x"))).select("id", "text")
         some = materialise(some, "copies-texts")
         both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        links = materialise(both.select("a", "b", "x", "y").mapInArrow(_confirmed(similarity, shingle), "a long, b long"), "copies-links")
+        links = materialise(in_arrow(both.select("a", "b", "x", "y"), _confirmed(similarity, shingle), "a long, b long"), "copies-links")
         discard(pairs, ends, some)
         return links
 
     def candidates(rows: DataFrame, labels: DataFrame, extra: str, seed: int | None) -> DataFrame:
-        rows = rows.join(each, "id")
         rows = rows.join(labels, rows["id"] == labels["node"], "left")
         rows = rows.select("token", "id", "size", F.coalesce("component", "id").alias("comp"), F.col(extra).alias("extra")).repartition("token").sortWithinPartitions("token")
-        found = rows.mapInArrow(_pairs(similarity, seed), "a long, b long, short long").filter("a <> b").groupBy("a", "b")
+        found = in_arrow(rows, _pairs(similarity, seed), "a long, b long, short long").filter("a <> b").groupBy("a", "b")
         return found.agg(F.count("*").alias("c"), F.min("short").alias("short")).filter(F.lit(seed is not None) | (F.col("c") >= F.col("short"))).select("a", "b")
 
     near = links(distinct.groupBy("fp").agg(F.min("id").alias("rep")).select("fp", "rep"), radius)

@@ -97,15 +97,63 @@ def test_language_id_learns_and_rejects(spark):
     assert predict(docs, fit(empty)).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    rows = [(i, "abca bcab cabc", "en") for i in range(30)]
-    model = fit(docs_of(spark, [(i, t) for i, t, _ in rows]))
-    context = units(b"abc")
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney of order 4 over characters, straight from its definition."""
+    counts = [None] * 5
+    counts[4] = Counter()
+    for t in texts:
+        s = "\0\0 " + " ".join(t.lower().split()) + " "
+        counts[4].update(s[i - 3 : i + 1] for i in range(3, len(s)))
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def discount(n):
+        n1, n2 = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(context, c, n):
+        if n == 0:
+            return 2.0**-16
+        context = context[len(context) - n + 1 :]
+        followers = {g[-1]: k for g, k in counts[n].items() if g[:-1] == context}
+        if not followers:
+            return p(context, c, n - 1)
+        total, d = sum(followers.values()), discount(n)
+        return max(followers.get(c, 0) - d, 0) / total + d * len(followers) / total * p(context, c, n - 1)
+
+    return lambda context, c: p(context, c, 4)
+
+
+def test_kneser_ney_is_that_of_the_definition(spark):
     import numpy as np
 
-    letters = np.unique(units(b"abca bcab cabc"))
-    keys = np.array([keys_of(np.concatenate([context[:3], [c]]))[-1] for c in letters], dtype=np.uint64)
-    assert 0.9 < np.exp(model.log_probs(keys)).sum() <= 1.0001
+    random.seed(21)
+    texts = {k: [" ".join("".join(random.choices(letters, k=random.randint(1, 5))) for _ in range(12)) for _ in range(25)] for k, letters in (("en", "abcd"), ("xx", "bcé日"))}
+    docs = docs_of(spark, [(i, t) for i, t in enumerate([*texts["en"], *texts["xx"]])], ["en"] * 25 + ["xx"] * 25)
+    model = fit(docs)
+    kept = {r.doc_id for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) % 5 != 0).collect()}
+    for j, lang in enumerate(model.langs):
+        p = plain_kneser_ney([t for i, t in enumerate(texts[lang], 0 if lang == "en" else 25) if i in kept])
+        unit = lambda c: 0 if c == "\0" else ord(c)
+        for context in ("abc", "\0\0 ", "\0 b", " cb", "zzz", "日bc", "bzé", "d a"):
+            key = lambda c: sum(unit(x) << 16 * (3 - i) for i, x in enumerate(context + c))
+            alphabet = " abcdé日zß"
+            got = np.exp(model.log_probs(np.array([key(c) for c in alphabet], dtype=np.uint64))[:, j].astype(float))
+            want = [p(context, c) for c in alphabet]
+            assert np.allclose(got, want, rtol=1e-4), (lang, context)
+            # All other units share what is left, equally.
+            assert math.isclose(got.sum() + (2**16 - len(alphabet)) * got[-1], 1, rel_tol=1e-4)
+
+
+def test_language_id_of_very_long_texts_and_astral_letters(spark):
+    random.seed(13)
+    rows = [(i, ("aba bab " if i % 2 else "xyx yxy ") * 30) for i in range(200)]
+    rows += [(200 + i, "".join(random.choices("abcdefghijklmnopqrstuvwxyzäöü", k=60))) for i in range(200)]
+    docs = docs_of(spark, rows, ["yy" if i % 2 else "xx" for i in range(200)] + ["zz"] * 200)
+    model = fit(docs)
+    assert model.limits[0] == model.limits[1] < model.limits[2]  # each by its own rows
+    got = {r.doc_id: r for r in predict(docs_of(spark, [(1, "aba bab " * 300_000), (2, "\U00010400\U00010428" * 400), (3, "aba " + "\U0001d400" * 3)]), model).collect()}
+    assert got[1].lang_pred == "yy" and not got[1].rejected and got[2].rejected and got[3].lang_pred == "yy"
 
 
 def test_hash_array_finds_all():
