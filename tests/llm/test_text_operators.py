@@ -147,9 +147,9 @@ def test_kneser_ney_is_that_of_the_definition(spark):
 
 def test_language_id_of_very_long_texts_and_astral_letters(spark):
     random.seed(13)
-    rows = [(i, ("aba bab " if i % 2 else "xyx yxy ") * 30) for i in range(200)]
-    rows += [(200 + i, "".join(random.choices("abcdefghijklmnopqrstuvwxyzäöü", k=60))) for i in range(200)]
-    docs = docs_of(spark, rows, ["yy" if i % 2 else "xx" for i in range(200)] + ["zz"] * 200)
+    rows = [(i, ("aba bab " if i % 2 else "xyx yxy ") * 30) for i in range(400)]
+    rows += [(400 + i, "".join(random.choices("abcdefghijklmnopqrstuvwxyzäöü", k=60))) for i in range(200)]
+    docs = docs_of(spark, rows, ["yy" if i % 2 else "xx" for i in range(400)] + ["zz"] * 200)
     model = fit(docs)
     assert model.limits[0] == model.limits[1] < model.limits[2]  # each by its own rows
     got = {r.doc_id: r for r in predict(docs_of(spark, [(1, "aba bab " * 300_000), (2, "\U00010400\U00010428" * 400), (3, "aba " + "\U0001d400" * 3)]), model).collect()}
