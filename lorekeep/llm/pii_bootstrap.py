@@ -1,15 +1,18 @@
 """Personal data by patterns and by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base spans are the matches of four fixed patterns that pass their checks.  They seed
-a pattern-instance graph: an instance is an identifier-like token (five digits or an
-``@``), a pattern is the lexical context before it (the last word, the last two
-words, or a key such as ``account:`` inside the token; digits masked).  Scores go
+a pattern-instance graph: an instance is a base span with what touches it, or another
+identifier-like token (five digits or an ``@``), a pattern is the lexical context
+before it (the last word, the last two words, or a key such as ``account:`` inside the
+token; digits masked).  Scores go
 back and forth: a pattern's confidence is the mean score of its instances, an
 unseen instance's score is the noisy-or of its patterns.  Occurrences of unseen
 instances behind patterns of high confidence become spans of kind ``id``.
 
-Positions are code points: the pieces between the matches, from ``split``, and the
-matches, from ``regexp_extract_all``, are summed along.
+Positions are code points, and bytes for cutting: the pieces between the matches, from
+``split``, and the matches, from ``regexp_extract_all``, are summed along.  Sums run
+in blocks of about the cube root of the matches, because a fold that appends to an
+array copies it; a text of a hundred thousand matches takes a second.
 """
 
 from __future__ import annotations
@@ -35,49 +38,93 @@ _CHECKS = {
     "card": "length(translate(m, ' -', '')) <= 19 AND luhn_check(translate(m, ' -', ''))",
     "phone": "length(regexp_replace(m, '[^0-9]', '')) BETWEEN 9 AND 15",
 }
-_TOKEN = r"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){5})\S++"
-_SPAN = "array<struct<start:int,rank:int,end:int>>"
+#: Stands for every character of a base span where tokens are looked for; the texts' own become \x02 there.
+_MASK = "\x01"
+_TOKEN = r"(?<!\S)(?=[^\s@\x01]*+[@\x01]|(?:[^\s0-9]*+[0-9]){5})\S++"
+#: start and end in code points, ostart and oend in bytes.
+_SPAN = "array<struct<start:int,rank:int,end:int,ostart:int,oend:int>>"
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _located(text: str, pattern: str, hint: str, check: str, made: str, kind: str) -> Column:
-    """Array over the matches that pass ``check``; ``made`` builds an element from m, start and gap g."""
-    p = _quoted(pattern)
-    return F.expr(
-        f"""CASE WHEN {hint.format(t=text)} THEN aggregate(
-              zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) -> struct(g, m)),
-              struct(0 AS pos, cast(array() AS {kind}) AS out),
-              (acc, x) -> struct(
-                acc.pos + length(x.g) + coalesce(length(x.m), 0) AS pos,
-                CASE WHEN x.m IS NULL THEN acc.out
-                     ELSE concat(acc.out, transform(filter(array(struct(x.m AS m, x.g AS g, acc.pos + length(x.g) AS start)), y -> {check}), y -> {made})) END AS out),
-              acc -> acc.out)
-            ELSE cast(array() AS {kind}) END"""
-    )
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def base_spans(text: str) -> Column:
-    """Sorted array of (start, rank of the kind, end) of the base matches of a non-null text column."""
+def _in_blocks(items: str) -> str:
+    """A non-empty array as an array of blocks of about the cube root of its size."""
+    size = "cast(ceil(cbrt(size(its))) AS int)"
+    return _let("its", items, f"transform(sequence(0, (size(its) - 1) div {size}), k -> slice(its, k * {size} + 1, {size}))")
+
+
+def _located(text: str, pattern: str, hint: str, check: str, made: str, kind: str) -> str:
+    """SQL of an array over the matches that pass ``check`` of z.m; ``made`` builds an element from z: m, gap g, start, ostart."""
+    p = _quoted(pattern)
+    matches = f"""zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) ->
+      struct(g, m, length(g) AS gl, octet_length(g) AS gb, length(g) + coalesce(length(m), 0) AS l, octet_length(g) + coalesce(octet_length(m), 0) AS b))"""
+    offsets = """aggregate(transform(bs, x -> struct(aggregate(x, 0, (s, y) -> s + y.l) AS l, aggregate(x, 0, (s, y) -> s + y.b) AS b)),
+      struct(0 AS l, 0 AS b, cast(array() AS array<struct<l:int,b:int>>) AS out),
+      (acc, x) -> struct(acc.l + x.l AS l, acc.b + x.b AS b, concat(acc.out, array(struct(acc.l AS l, acc.b AS b))) AS out), acc -> acc.out)"""
+    inner = f"""aggregate(x, struct(o.l AS l, o.b AS b, cast(array() AS {kind}) AS out),
+      (acc, y) -> struct(acc.l + y.l AS l, acc.b + y.b AS b,
+        CASE WHEN y.m IS NULL THEN acc.out
+             ELSE concat(acc.out, transform(filter(array(struct(y.m AS m, y.g AS g, acc.l + y.gl AS start, acc.b + y.gb AS ostart)), z -> {check}), z -> {made})) END AS out),
+      acc -> acc.out)"""
+    found = _let("bs", _in_blocks(matches), f"flatten(zip_with(bs, {offsets}, (x, o) -> {inner}))")
+    return f"CASE WHEN {hint.format(t=text)} THEN {found} ELSE cast(array() AS {kind}) END"
+
+
+def _base(text: str) -> str:
     parts = []
     for rank, (kind, pattern) in enumerate(KINDS.items()):
-        check = _CHECKS[kind].replace("(m,", "(y.m,")
-        parts.append(_located(text, pattern, _HINTS[kind], check, f"struct(y.start AS start, {rank} AS rank, y.start + length(y.m) AS end)", _SPAN))
-    return F.sort_array(F.concat(*parts))
+        check = _CHECKS[kind].replace("(m,", "(z.m,")
+        made = f"struct(z.start AS start, {rank} AS rank, z.start + length(z.m) AS end, z.ostart AS ostart, z.ostart + octet_length(z.m) AS oend)"
+        parts.append(_located(text, pattern, _HINTS[kind], check, made, _SPAN))
+    return f"sort_array(concat({', '.join(parts)}))"
 
 
-def _candidates(text: str) -> Column:
-    """(start, end, token, words before) of identifier-like tokens, without closing punctuation and key."""
+def base_spans(text: str) -> Column:
+    """Sorted array of (start, rank of the kind, end, ostart, oend) of the base matches of a non-null text column."""
+    return F.expr(_base(text))
+
+
+def _rewritten(text: str, spans: str, first: str, more: str) -> str:
+    """SQL of ``text`` with the sorted ``spans`` covered: ``first`` for a span s, ``more`` for what an overlapping one adds behind byte acc.pos."""
+    piece = "cast(substring(bin, {a} + 1, {b} - {a}) AS string)"
+    before = """aggregate(transform(bs, x -> array_max(transform(x, s -> s.oend))), struct(0 AS pos, cast(array() AS array<int>) AS out),
+      (acc, x) -> struct(greatest(acc.pos, x) AS pos, concat(acc.out, array(acc.pos)) AS out), acc -> acc.out)"""
+    inner = f"""aggregate(x, struct(o AS pos, cast(array() AS array<string>) AS out),
+      (acc, s) -> CASE WHEN s.oend <= acc.pos THEN acc
+        WHEN s.ostart < acc.pos THEN struct(s.oend AS pos, concat(acc.out, array({more})) AS out)
+        ELSE struct(s.oend AS pos, concat(acc.out, array({piece.format(a="acc.pos", b="s.ostart")}, {first})) AS out) END,
+      acc -> acc.out)"""
+    last = "array_max(transform(sp, s -> s.oend))"
+    body = _let("bs", _in_blocks("sp"), f"array_join(flatten(zip_with(bs, {before}, (x, o) -> {inner})), '')")
+    whole = f"concat({body}, {_let('e', last, piece.format(a='e', b='octet_length(bin)'))})"
+    covered = _let("bin", f"cast({text} AS binary)", whole)
+    return _let("sp", spans, f"CASE WHEN size(sp) = 0 THEN {text} ELSE {covered} END")
+
+
+_FOUND = "array<struct<start:int,end:int,ostart:int,oend:int,instance:bigint,seed:boolean,key:string,before:array<string>>>"
+
+
+def _candidates(text: str, base: str) -> Column:
+    """Base spans with what touches them, and other identifier-like tokens, without closing punctuation and key."""
+    mark = f"'{_MASK}'"
+    plain = f"translate({text}, {mark}, '\x02')"
+    masked = _rewritten(plain, base, f"repeat({mark}, s.oend - s.ostart)", f"repeat({mark}, s.oend - acc.pos)")
+    key, trimmed = "regexp_extract(z.m, '^[A-Za-z_]{3,32}[=:]', 0)", "rtrim('.,;:)\"', z.m)"
+    inside = f"cast(substring(bin, z.ostart + length({key}) + 1, octet_length({trimmed}) - length({key})) AS string)"
     made = (
-        "struct(y.start + length(regexp_extract(y.m, '^[A-Za-z_]{3,32}[=:]', 0)) AS start, y.start + length(rtrim('.,;:)\"', y.m)) AS end,"
-        " rtrim('.,;:)\"', substr(y.m, length(regexp_extract(y.m, '^[A-Za-z_]{3,32}[=:]', 0)) + 1)) AS token,"
-        " lower(regexp_extract(y.m, '^[A-Za-z_]{3,32}[=:]', 0)) AS key,"
-        " slice(reverse(split(trim(regexp_replace(lower(right(y.g, 80)), '\\\\s+', ' ')), ' ')), 1, 2) AS before)"
+        f"struct(z.start + length({key}) AS start, z.start + length({trimmed}) AS end, z.ostart + length({key}) AS ostart, z.ostart + octet_length({trimmed}) AS oend,"
+        f" xxhash64(lower({inside})) AS instance, instr(z.m, {mark}) > 0 AS seed, lower({key}) AS key,"
+        " slice(reverse(split(trim(regexp_replace(lower(right(z.g, 80)), '\\\\s+', ' ')), ' ')), 1, 2) AS before)"
     )
-    kind = "array<struct<start:int,end:int,token:string,key:string,before:array<string>>>"
-    return _located(text, _TOKEN, "{t} RLIKE '[0-9@]'", "true", made, kind)
+    tokens = _located("ms", _TOKEN, "{t} RLIKE '[0-9@\x01]'", "true", made, _FOUND)
+    return F.expr(_let("ms", masked, _let("bin", f"cast({text} AS binary)", tokens)))
 
 
 def spelled(spans: Column) -> Column:
@@ -91,7 +138,8 @@ def spelled(spans: Column) -> Column:
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, h, base, found) of each document: base spans and candidate tokens; h is the text's hash."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("h"), base_spans("text").alias("base"), _candidates("text").alias("found"))
+    based = rows.select("doc_id", F.xxhash64("text").alias("h"), "text", base_spans("text").alias("base"))
+    return based.select("doc_id", "h", "base", _candidates("text", "base").alias("found"))
 
 
 def discovered(scanned: DataFrame, rounds: int = 3, least_seeds: int = 5, least_confidence: float = 0.8, prior: float = 2.0) -> DataFrame:
@@ -101,15 +149,8 @@ def discovered(scanned: DataFrame, rounds: int = 3, least_seeds: int = 5, least_
     instances; ``prior`` pulls rare patterns down.
     """
     spark = scanned.sparkSession
-    occurrences = scanned.select("doc_id", "h", "base", F.explode("found").alias("c")).select(
-        "doc_id",
-        "h",
-        "c.start",
-        "c.end",
-        F.xxhash64(F.lower("c.token")).alias("instance"),
-        F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start"))).alias("seed"),
-        "c.key",
-        F.transform("c.before", lambda w: F.regexp_replace(w, "[0-9]", "9")).alias("w"),
+    occurrences = scanned.select("doc_id", "h", F.explode("found").alias("c")).select(
+        "doc_id", "h", *[f"c.{x}" for x in ("start", "end", "ostart", "oend", "instance", "seed", "key")], F.transform("c.before", lambda w: F.regexp_replace(w, "[0-9]", "9")).alias("w")
     ).filter(F.col("end") - F.col("start") >= 5)
     context = F.filter(
         F.array(
@@ -119,7 +160,7 @@ def discovered(scanned: DataFrame, rounds: int = 3, least_seeds: int = 5, least_
         ),
         lambda p: p.isNotNull(),
     )
-    seen = materialise(occurrences.select("doc_id", "h", "start", "end", "instance", "seed", context.alias("patterns")), "pii-occurrences")
+    seen = materialise(occurrences.select("doc_id", "h", "start", "end", "ostart", "oend", "instance", "seed", context.alias("patterns")), "pii-occurrences")
     # An instance is a seed if any of its occurrences is.
     seeds = seen.groupBy("instance").agg(F.max("seed").alias("seed"))
     pairs = seen.select(F.explode("patterns").alias("pattern"), "instance").groupBy("pattern", "instance").agg(F.count("*").alias("n"))
@@ -141,14 +182,14 @@ def discovered(scanned: DataFrame, rounds: int = 3, least_seeds: int = 5, least_
             .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
         )
     sure = patterns.filter(F.col("confidence") >= least_confidence).select("pattern")
-    behind = seen.filter("NOT seed").select("doc_id", "h", "start", "end", F.explode("patterns").alias("pattern")).join(sure, "pattern", "left_semi")
+    behind = seen.filter("NOT seed").select("doc_id", "h", "start", "end", "ostart", "oend", F.explode("patterns").alias("pattern")).join(sure, "pattern", "left_semi")
     return behind.groupBy("doc_id", "h").agg(
-        F.sort_array(F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end")))).cast(_SPAN).alias("extra")
+        F.sort_array(F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.col("ostart"), F.col("oend")))).cast(_SPAN).alias("extra")
     )
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, base, spans): sorted arrays of (start, rank, end), rank 4 is kind ``id``; one row for each document.
+    """(doc_id, base, spans): sorted arrays of (start, rank, end, ostart, oend), rank 4 is kind ``id``; one row for each document.
 
     Null texts are empty.  Rows repeated with id and text each get the same spans.
     Other columns are ignored.
@@ -174,12 +215,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     joined = clear.withColumn("__pii_extra", F.array().cast(_SPAN)).unionByName(doubtful.join(more, same, "left").drop("__pii_d", "__pii_h"))
     spans = F.sort_array(F.concat(base_spans("__pii_t"), F.coalesce("__pii_extra", F.array().cast(_SPAN))))
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in (*KINDS, "id")) + ")"
-    masked = F.expr(
-        f"""CASE WHEN size(__pii_s) = 0 THEN __pii_t ELSE aggregate(__pii_s, struct(0 AS pos, '' AS out),
-              (acc, s) -> CASE WHEN s.end <= acc.pos THEN acc
-                WHEN s.start < acc.pos THEN struct(s.end AS pos, acc.out AS out)
-                ELSE struct(s.end AS pos, concat(acc.out, substr(__pii_t, acc.pos + 1, s.start - acc.pos), {names}[s.rank]) AS out) END,
-              acc -> concat(acc.out, substr(__pii_t, acc.pos + 1))) END"""
-    )
-    rewritten = joined.withColumn("__pii_s", spans).withColumn("__pii_m", masked)
+    rewritten = joined.withColumn("__pii_s", spans).withColumn("__pii_m", F.expr(_rewritten("__pii_t", "__pii_s", f"{names}[s.rank]", "''")))
     return rewritten.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("__pii_m"))).select(*docs.columns)
