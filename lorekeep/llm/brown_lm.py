@@ -2,12 +2,16 @@
 
 P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)), in log10.
 
-Classes.  Exchange clustering assigns the ``cluster_words`` most frequent tokens to
-``clusters`` classes by moving each to the class that raises the likelihood of the
-class bigrams most.  The other frequent words (the head, at most ``head_words``)
-fall into bands of frequency.  All rarer words, known or not, are one class, whose
-inner distribution follows leave-one-out counts: a training token of a word seen c
-times counts for words seen c - 1 times, so words seen once stand for unknown ones.
+Classes.  Exchange clustering moves each word of the head (the frequent words, at most
+``head_words``) to the class that raises the likelihood of the class bigrams most.
+The ``seed_words`` most frequent ones are exchanged first, in turn, on the driver; then
+every word of the head, all at once: bigram counts of the whole training part lie in
+shards of words, each task exchanges the words of its shards in turn against the class
+counts of the round before, and a round that does not raise the likelihood ends it.
+The number of classes grows with the root of the head.  All rarer words, known or
+not, are one class, whose inner distribution follows leave-one-out counts: a training
+token of a word seen c times counts for words seen c - 1 times, so words seen once
+stand for unknown ones.
 
 Scale.  The head is of bounded size and is broadcast; only tokens beyond it meet
 the full vocabulary, in one join on the word, where by construction no key is
@@ -22,17 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, utf8
+from .common import blocks, in_arrow, materialise, utf8
 
 #: The end token; no word holds a space.
 END = b" "
 #: Longer words are never of the head, so that its size has a bound in bytes.
 HEAD_BYTES = 64
 _FLUSH = 200_000
-_BANDS_PER_OCTAVE = 1
+_FLUSH_TOKENS = 1 << 21
+_SHARD_WORDS = 64
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -61,16 +67,46 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(utf8(text_col).alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def exchange(pairs: np.ndarray, clusters: int, rounds: int = 4) -> np.ndarray:
-    """Class of each word from a square matrix of bigram counts, by exchange clustering.
+def xlogx(a: np.ndarray) -> np.ndarray:
+    return a * np.log(np.maximum(a, 1))
+
+
+def likelihood(grid: np.ndarray) -> float:
+    """The part of the log likelihood of class bigrams that classes change: sum N(c,d) log N(c,d) - sum N(c.) log N(c.) - sum N(.d) log N(.d)."""
+    return float(xlogx(grid).sum() - xlogx(grid.sum(axis=1)).sum() - xlogx(grid.sum(axis=0)).sum())
+
 
-    Maximises sum N(c,d) log N(c,d) - sum N(c.) log N(c.) - sum N(.d) log N(.d);
-    starts from words dealt round by frequency; ties keep the word where it is.
+def best_class(grid: np.ndarray, a: int, right: np.ndarray, left: np.ndarray, loop: float, classes: int) -> tuple[int, np.ndarray]:
+    """(class, class counts after the move) of a word of class ``a``.
+
+    right, left: how often it stands before and after words of each class, itself
+    apart (``loop``).  Only the first ``classes`` may be chosen; ties keep the word
+    where it is, if it may be there.
     """
+    rest = grid.copy()  # without the word
+    rest[a] -= right
+    rest[:, a] -= left
+    rest[a, a] -= loop
+    # What other words send to it and get from it is in their classes' sums, whatever its class.
+    rows, cols = rest.sum(axis=1) + left, rest.sum(axis=0) + right
+    # Likelihood change of adding it to class k, for all k at once; only classes it meets change.
+    r, f = np.flatnonzero(right), np.flatnonzero(left)
+    gain = (xlogx(rest[:, r] + right[r]) - xlogx(rest[:, r])).sum(axis=1) + (xlogx(rest[f] + left[f, None]) - xlogx(rest[f])).sum(axis=0)
+    own = rest.diagonal()
+    gain += xlogx(own + right + left + loop) - xlogx(own + right) - xlogx(own + left) + xlogx(own)
+    out_n, in_n = right.sum() + loop, left.sum() + loop
+    gain -= xlogx(rows + out_n) - xlogx(rows) + xlogx(cols + in_n) - xlogx(cols)
+    k = int(gain[:classes].argmax())
+    if a < classes and gain[k] <= gain[a] + 1e-9:
+        k = a
+    rest[k] += right
+    rest[:, k] += left
+    rest[k, k] += loop
+    return k, rest
 
-    def xlogx(a: np.ndarray) -> np.ndarray:
-        return a * np.log(np.maximum(a, 1))
 
+def exchange(pairs: np.ndarray, clusters: int, rounds: int = 4) -> np.ndarray:
+    """Class of each word from a square matrix of bigram counts, by exchange in turn; starts from words dealt round."""
     n = len(pairs)
     clusters = max(1, min(clusters, n))
     label = np.arange(n) % clusters
@@ -86,27 +122,7 @@ def exchange(pairs: np.ndarray, clusters: int, rounds: int = 4) -> np.ndarray:
             right, left = to_class[w].copy(), from_class[w].copy()
             right[a] -= loop
             left[a] -= loop
-            rest = grid.copy()  # without w
-            rest[a] -= right
-            rest[:, a] -= left
-            rest[a, a] -= loop
-            # What other words send to w and get from it is in their classes' sums, whatever w's class.
-            rows, cols = rest.sum(axis=1) + left, rest.sum(axis=0) + right
-            # Likelihood change of adding w to class k, for all k at once.
-            new_row, new_col = rest + right[None, :], rest + left[:, None]
-            gain = (xlogx(new_row) - xlogx(rest)).sum(axis=1) + (xlogx(new_col) - xlogx(rest)).sum(axis=0)
-            d = np.arange(clusters)
-            both = rest[d, d] + right + left + loop
-            gain += xlogx(both) - xlogx(rest[d, d] + right) - xlogx(rest[d, d] + left) + xlogx(rest[d, d])
-            out_n, in_n = right.sum() + loop, left.sum() + loop
-            gain -= xlogx(rows + out_n) - xlogx(rows) + xlogx(cols + in_n) - xlogx(cols)
-            k = int(gain.argmax())
-            if gain[k] <= gain[a] + 1e-9:
-                k = a
-            grid = rest
-            grid[k] += right
-            grid[:, k] += left
-            grid[k, k] += loop
+            k, grid = best_class(grid, a, right, left, loop, clusters)
             if k != a:
                 moved = True
                 label[w] = k
@@ -119,14 +135,183 @@ def exchange(pairs: np.ndarray, clusters: int, rounds: int = 4) -> np.ndarray:
     return label
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts; differences, byte by byte, compressed."""
+    rows = np.concatenate([np.diff(keys, prepend=0), counts]).astype("<i8")
+    return zstandard.ZstdCompressor(level=1).compress(rows.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+    half = len(rows) // 2
+    return np.cumsum(rows[:half]), rows[half:]
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+
+
+class Bigrams:
+    """Counts of successive symbols, in shards of words: (shard, data) rows of keys (word * 2 + direction) * size + other.
+
+    Symbols are the ids of the head and ``size - 1`` for every other word.  A row
+    holds all that stands beside its words, to the right (direction 0) and left,
+    which the size of the head bounds.
+    """
+
+    def __init__(self, docs: DataFrame, text_col: str, head: dict[bytes, int]):
+        self.spark, self.size = docs.sparkSession, len(head) + 1
+        size, shards = self.size, max(64, -(-(len(head) + 1) // _SHARD_WORDS))
+        shipped = self.spark.sparkContext.broadcast(head)
+        schema = pa.schema([("shard", pa.int32()), ("data", pa.binary())])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = shipped.value
+            start, get, tail = ids[END], ids.get, size - 1
+            held: list[np.ndarray] = []
+            n = 0
+
+            def out() -> Iterator[pa.RecordBatch]:
+                a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                held.clear()
+                for w, o, direction in ((a, b, 0), (b, a, 1)):
+                    keys, counts = np.unique((w * 2 + direction) * size + o, return_counts=True)
+                    shard = keys // (2 * size) % shards
+                    order = np.argsort(shard, kind="stable")
+                    keys, counts, shard = keys[order], counts[order], shard[order]
+                    edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]).tolist()
+                    data = [_packed(keys[lo:hi], counts[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]], pa.int32()), pa.array(data, pa.binary())], schema=schema)
+
+            for batch in batches:
+                for block in blocks(batch, "text", 2 << 20):
+                    seq = [start]
+                    for raw in block.column(0).to_pylist():
+                        seq += [get(w, tail) for w in tokens(raw)]
+                    s = np.array(seq, dtype=np.int64)
+                    held.append((s[:-1], s[1:]))
+                    n += len(s)
+                    if n > _FLUSH_TOKENS:
+                        yield from out()
+                        n = 0
+            if held:
+                yield from out()
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, keys, counts, n = None, [], [], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([_packed(*_summed(keys, counts))], pa.binary())], schema=schema)
+
+            for batch in batches:
+                for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if shard != last:
+                        if keys:
+                            yield out()
+                        last, keys, counts, n = shard, [], [], 0
+                    k, c = _unpacked(data)
+                    keys.append(k)
+                    counts.append(c)
+                    n += len(k)
+                    if n > _FLUSH_TOKENS:
+                        k, c = _summed(keys, counts)
+                        keys, counts, n = [k], [c], 0
+            if keys:
+                yield out()
+
+        parts = in_arrow(docs.select(utf8(text_col).alias("text")), count, "shard int, data binary")
+        self.table = materialise(in_arrow(parts.repartition("shard").sortWithinPartitions("shard"), merge, "shard int, data binary"), "brown-bigrams")
+
+    def grid(self, label: np.ndarray, classes: int, below: int | None = None) -> np.ndarray:
+        """(classes, classes) counts of successive labels; only of symbols below ``below``, if given."""
+        shipped, size = self.spark.sparkContext.broadcast(label), self.size
+        schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = shipped.value.astype(np.int64)
+            total = np.zeros(classes * classes, dtype=np.int64)
+            for batch in batches:
+                for data in batch.column(0).to_pylist():
+                    keys, n = _unpacked(data)
+                    w, o = np.divmod(keys, size)
+                    own = w % 2 == 0
+                    w >>= 1
+                    if below is not None:
+                        own &= (w < below) & (o < below)
+                    np.add.at(total, of[w[own]] * classes + of[o[own]], n[own])
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=schema)
+
+        found = in_arrow(self.table.select("data"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(classes * classes)
+        out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+        return out.reshape(classes, classes)
+
+    def moved(self, label: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        """Labels after one exchange of every word but the tail; words labelled as the tail get a class."""
+        shipped, size = self.spark.sparkContext.broadcast((label, grid)), self.size
+        schema = pa.schema([("word", pa.int32()), ("label", pa.int32())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, start = shipped.value
+            of, classes = of.astype(np.int64), len(start)
+            for batch in batches:
+                for data in batch.column(0).to_pylist():
+                    keys, n = _unpacked(data)
+                    side, o = np.divmod(keys, size)
+                    words, local = np.unique(side >> 1, return_inverse=True)
+                    beside = np.zeros((len(words), 2, classes))
+                    np.add.at(beside, (local, side & 1, of[o]), n)
+                    loops = np.zeros(len(words))
+                    itself = (o == side >> 1) & (side & 1 == 0)
+                    loops[local[itself]] = n[itself]
+                    now, out = start.copy(), []
+                    for i, w in enumerate(words.tolist()):
+                        if w == size - 1:
+                            continue
+                        a, loop = int(of[w]), loops[i]
+                        right, left = beside[i]
+                        right[a] -= loop
+                        left[a] -= loop
+                        k, now = best_class(now, a, right, left, loop, classes - 1)
+                        out.append((w, k))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in zip(*out)], schema=schema)
+
+        found = in_arrow(self.table.select("data"), run, "word int, label int").toArrow()
+        after = label.copy()
+        after[found.column("word").to_numpy()] = found.column("label").to_numpy()
+        return after
+
+
+def cluster(bigrams: Bigrams, clusters: int, seed_words: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of every symbol, class counts): the tail's class is the last, ``clusters``."""
+    m = min(seed_words, bigrams.size - 1)
+    dense = bigrams.grid(np.minimum(np.arange(bigrams.size), m - 1), m, below=m)
+    label = np.full(bigrams.size, clusters, dtype=np.int32)
+    label[:m] = exchange(dense, clusters)
+    grid = bigrams.grid(label, clusters + 1)
+    if m < bigrams.size - 1:
+        label = bigrams.moved(label, grid)
+        grid = bigrams.grid(label, clusters + 1)
+    for _ in range(rounds):
+        then = bigrams.moved(label, grid)
+        after = bigrams.grid(then, clusters + 1)
+        if likelihood(after) <= likelihood(grid) + 1e-6:
+            break
+        label, grid = then, after
+    return label, grid
+
+
 @dataclass
 class BrownModel:
     """head: word -> id; ids below ``tail`` are symbols of the head, ``tail`` is every other word."""
 
     head: dict[bytes, int]
     counts: np.ndarray  # of the head words
-    symbol: np.ndarray  # head id -> row of the transition table
-    transition: np.ndarray  # (symbols + 1, symbols + 1) log10; the last is the tail class
+    symbol: np.ndarray  # head id -> its class, a row of the transition table
+    transition: np.ndarray  # (classes + 1, classes + 1) log10; the last is the tail class
     emission: np.ndarray  # head id -> log10 P(word | class)
     train_tokens: int
     vocabulary: int
@@ -139,38 +324,6 @@ def band(c: Column) -> Column:
     return F.when(c < 16, c).otherwise(16 + F.floor(16 * F.log2(c / 16))).cast("int")
 
 
-def _bigrams(docs: DataFrame, text_col: str, head: dict[bytes, int], row_of: np.ndarray, size: int) -> np.ndarray:
-    """(size, size) counts of successive symbols; the last symbol is the tail, texts start after an end token."""
-    shipped = docs.sparkSession.sparkContext.broadcast((head, row_of))
-    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = shipped.value
-        rows = np.append(rows, size - 1)  # -1: tail
-        grid = np.zeros(size * size, dtype=np.int64)
-        start, get = ids[END], ids.get
-        for batch in batches:
-            for block in blocks(batch, "text", 2 << 20):
-                seq = [start]
-                for raw in block.column(0).to_pylist():
-                    seq += [get(w, -1) for w in tokens(raw)]
-                s = rows[np.array(seq, dtype=np.int64)]
-                grid += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
-        cells = np.flatnonzero(grid)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(grid[cells])], schema=schema)
-
-    found = (
-        docs.select(utf8(text_col).alias("text"))
-        .mapInArrow(run, "cell int, n long")
-        .groupBy("cell")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
-    grid = np.zeros(size * size, dtype=np.int64)
-    grid[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return grid.reshape(size, size)
-
-
 def _is_head(cut: int) -> Column:
     return (F.col("c") >= cut) & (F.octet_length("word") <= HEAD_BYTES)
 
@@ -178,16 +331,18 @@ def _is_head(cut: int) -> Column:
 def fit(
     train: DataFrame,
     text_col: str = "text",
-    clusters: int = 32,
-    cluster_words: int = 400,
+    clusters: int | None = None,
+    seed_words: int = 512,
+    rounds: int = 3,
     head_words: int = 1 << 18,
     least_head_count: int = 6,
     prior: float = 20.0,
 ) -> tuple[BrownModel, DataFrame]:
     """(model, counts) of the training rows; counts is (word, c) over the whole vocabulary.
 
-    Only the head (at most ``head_words`` words), a grid of symbols and a
-    histogram of bands reach the driver; all three are of bounded size.
+    ``clusters`` defaults to a quarter of the root of the head's size, 8 at least.
+    Only the head (at most ``head_words`` words) and its classes, grids of classes
+    or seed words and a histogram of bands reach the driver; all are of bounded size.
     """
     counts = materialise(count_words(train, text_col), "brown-counts")
     sizes = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
@@ -210,23 +365,13 @@ def fit(
     c = np.concatenate([[end["c"] if end else 0], c[order]]).astype(np.int64)
     head = {w: i for i, w in enumerate(words)}
 
-    m = min(cluster_words, len(words))
-    octave = np.floor(np.log2(np.maximum(c[m:], 1)) * _BANDS_PER_OCTAVE).astype(np.int64)
-    bands, band_of = np.unique(octave, return_inverse=True)
-    row_of = np.concatenate([np.arange(m), m + band_of]).astype(np.int64)
-    size = m + len(bands) + 1
-    grid = _bigrams(train, text_col, head, row_of, size).astype(np.float64)
-
-    label = exchange(grid[:m, :m], clusters)
-    used, label = np.unique(label, return_inverse=True)
-    k = len(used) + len(bands) + 1
-    class_of = np.concatenate([label, len(used) + np.arange(len(bands) + 1)])
-    member = np.eye(k)[class_of]
-    joint = member.T @ grid @ member
+    classes = min(len(words), clusters or max(8, round(len(words) ** 0.5 / 4)))
+    label, joint = cluster(Bigrams(train, text_col, head), classes, seed_words, rounds)
+    k = classes + 1
     share = (joint.sum(axis=0) + 0.5) / (joint.sum() + 0.5 * k)
     transition = np.log10((joint + prior * share[None, :]) / (joint.sum(axis=1, keepdims=True) + prior))
 
-    symbol = class_of[row_of]
+    symbol = label[:-1].astype(np.int64)
     weight = np.maximum(c, 1).astype(np.float64)
     emission = np.log10(weight / np.bincount(symbol, weights=weight, minlength=k)[symbol])
 

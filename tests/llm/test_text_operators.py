@@ -364,17 +364,76 @@ def test_brown_model_is_a_distribution(spark):
 
     random.seed(8)
     rows = [(i, " ".join(random.choices([f"w{k}" for k in range(300)], weights=[300 / (k + 1) for k in range(300)], k=40))) for i in range(60)]
-    model, counts = fit_lm(docs_of(spark, rows), least_head_count=6, cluster_words=20, clusters=5)
+    model, counts = fit_lm(docs_of(spark, rows), least_head_count=6, seed_words=20, clusters=5)
     tail = [r["c"] for r in counts.filter(F.col("c") < model.tail_cut).collect()]
     bands = [x if x < 16 else 16 + math.floor(16 * math.log2(x / 16)) for x in [0, *tail]]
     inner = sum(10 ** (model.tail_logs[b] + math.log10(max(x, 1))) for b, x in zip(bands, [0, *tail]))
     assert math.isclose(inner, 1, rel_tol=1e-6)
     heads = np.bincount(model.symbol, weights=10**model.emission, minlength=len(model.transition))
     heads[-1] = inner
+    heads[np.setdiff1d(np.arange(len(heads) - 1), model.symbol)] = 1  # a class left empty gives to no word
     assert np.allclose((10**model.transition) @ heads, (10**model.transition).sum(axis=1), rtol=1e-6)
     assert np.allclose((10**model.transition).sum(axis=1), 1, rtol=1e-6)
 
 
+def test_brown_score_is_that_of_the_classes(spark):
+    """Class bigrams and emissions counted plainly from the classes give the score; the classes are those of the planted roles."""
+    import numpy as np
+    from lorekeep.llm.brown_lm import fit as fit_lm
+    from lorekeep.llm.brown_lm import score, tokens
+
+    rng = random.Random(12)
+    roles = [[f"{r}{i}" for i in range(60)] for r in "abc"]
+    rows = [(i, " ".join(rng.choice(roles[j % 3]) for j in range(30)) + (f" odd{i}" if i % 2 else "")) for i in range(500)]
+    docs = docs_of(spark, rows)
+    model, counts = fit_lm(docs, clusters=4, seed_words=20, least_head_count=4)
+    label = lambda w: int(model.symbol[model.head[w]]) if w in model.head else 4
+    found = [[label(w.encode()) for w in words] for words in roles]
+    assert all(Counter(f).most_common(1)[0][1] >= 0.9 * len(f) for f in found) and len({Counter(f).most_common(1)[0][0] for f in found}) == 3
+    joint, words = np.zeros((5, 5)), Counter()
+    for _, t in rows:
+        w = tokens(t.encode())
+        words.update(w)
+        for x, y in zip([b" ", *w], w):
+            joint[label(x), label(y)] += 1
+    share = (joint.sum(axis=0) + 0.5) / (joint.sum() + 2.5)
+    step = np.log10((joint + 20 * share) / (joint.sum(axis=1, keepdims=True) + 20))
+    size = Counter()
+    for w, c in words.items():
+        size[label(w)] += c
+    singles = [w for w in words if w not in model.head]
+    assert all(words[w] == 1 for w in singles)
+    # Leave-one-out: every tail token is of a word seen once, so the mass of words seen never before is theirs.
+    mass = {0: len(singles) + 1, 1: 1}
+    for r in score(docs, model, counts).collect():
+        w = tokens(dict(rows)[r.doc_id].encode())
+        want = sum(step[label(x), label(y)] for x, y in zip([b" ", *w], w))
+        want += sum(math.log10(words[x] / size[label(x)]) if x in model.head else math.log10(mass[1] / sum(mass.values()) / len(singles)) for x in w)
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_every_head_word_is_exchanged(spark):
+    """In shards, the exchange raises the likelihood of the whole and leaves no word of the head out."""
+    import numpy as np
+    from lorekeep.llm import brown_lm
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 400}" for _ in range(60))) for i in range(150)]
+    head = {w: i for i, w in enumerate([b" ", *sorted({x for _, t in rows for x in t.encode().split()})])}
+    bigrams = brown_lm.Bigrams(docs_of(spark, rows), "text", head)
+    dense = np.zeros((len(head) + 1,) * 2)
+    for _, t in rows:
+        ids = [0, *(head[w] for w in brown_lm.tokens(t.encode()))]
+        np.add.at(dense, (ids[:-1], ids[1:]), 1)
+    assert (bigrams.grid(np.arange(len(head) + 1), len(head) + 1) == dense).all()
+    label, grid = brown_lm.cluster(bigrams, 6, 30, 3)
+    assert (label[:-1] < 6).all() and label[-1] == 6
+    member = np.eye(7)[label]
+    assert np.allclose(member.T @ dense @ member, grid)
+    start = np.append(np.arange(len(head)) % 6, 6)
+    assert brown_lm.likelihood(grid) > brown_lm.likelihood(np.eye(7)[start].T @ dense @ np.eye(7)[start])
+
+
 def test_exchange_ends_where_no_move_helps():
     import numpy as np
     from lorekeep.llm.brown_lm import exchange
