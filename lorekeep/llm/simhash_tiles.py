@@ -271,6 +271,31 @@ def prefix_length(size: int, similarity: float) -> int:
 
 
 _ROWS = 1 << 16
+_LEAST_BITS, _MOST_BITS = 1 << 10, 1 << 16
+
+
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """A bitmap of a set: a bit is 1 if an odd number of its elements fall on it.
+
+    An element in one of two sets alone changes one bit at most, so the bits that
+    differ are never more than the elements that do.  It has two to four bits an
+    element, within limits, and the halves' exclusive-or is the bitmap of half as many.
+    """
+    width = min(_MOST_BITS, max(_LEAST_BITS, 1 << (2 * len(hashes)).bit_length()))
+    return np.packbits((np.bincount(hashes % np.uint64(width), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as a matrix of words of 64 bits, all of ``width`` bytes."""
+    out = np.zeros((len(bits), width // 8), dtype=np.uint64)
+    for i, b in enumerate(bits):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(b, dtype=np.uint64).reshape(-1, width // 8), axis=0)
+    return out
+
+
+def most_apart(sizes, similarity: float):
+    """So many elements at most are in one of two sets alone whose sizes add up to ``sizes`` and whose Jaccard similarity is that."""
+    return (1 - similarity) / (1 + similarity) * sizes + 1e-6
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -295,51 +320,91 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.nda
         yield out(held)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, id, size) sorted by token -> (token, id, size, n) of the tokens of several rows, n of them."""
-    for cols, lengths in _whole_runs(batches):
-        n = np.repeat(lengths, lengths)
-        keep = n > 1
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in cols), pa.array(n[keep])], names=["token", "id", "size", "n"])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
+def _pairs(similarity: float):
+    """Kernel over (token, id, size, comp) sorted by token: pairs of a token, not of one component, whose sizes allow the similarity."""
 
-def _pairs(similarity: float, seed: int | None):
-    """Kernel over (token, id, size, comp, extra) sorted by token: pairs of a token, not of one component, whose sizes allow the similarity.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, lengths in _whole_runs(batches):
+            _, ids, size, comp = cols
+            at = np.arange(len(ids))
+            ends = np.repeat(np.cumsum(lengths), lengths)
+            for step in range(1, int(lengths.max())):
+                at = at[at + step < ends[at]]
+                i, j = at, at + step
+                near = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6)
+                i, j = i[near], j[near]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], schema=_PAIR)
 
-    ``short`` is how many tokens such a pair must share here: with c shared in both
-    prefixes, at most c and what one of them has behind its prefix are shared in
-    all; ``extra`` bounds the prefix tokens that are not among these rows.  With a
-    seed only pairs with one row of each token, the least by a seeded hash.
+    return run
+
+
+def _tiled(similarity: float, tile: int = 128):
+    """Kernel over (cell, id, size, comp, side, bits) sorted by cell: pairs of a cell, not of one component, that may be that similar.
+
+    Tiles of rows in order of size are compared by exclusive-or and bit counts;
+    tile pairs whose sizes, or whose numbers of bits, differ too much are skipped.
+    Rows of side -1 meet each other, those of side 0 meet those of side 1.
     """
-    fields = [("a", pa.int64()), ("b", pa.int64()), ("short", pa.int64())]
 
-    def pairs(cols, i, j):
-        _, ids, size, comp, extra = cols
-        near = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6)
-        i, j = i[near], j[near]
-        behind = np.ceil(similarity * np.maximum(size[i], size[j]) - 1e-9) - 1
-        need = np.ceil(similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9) - behind
-        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), need.astype(np.int64) - np.minimum(extra[i], extra[j])
+    def links(ids, size, comp, side, bits):
+        order = np.argsort(size, kind="stable")
+        ids, size, comp, side, bits = (c[order] for c in (ids, size, comp, side, bits))
+        widths = np.array([len(b) for b in bits])  # they grow with the sizes
+        for i in range(0, len(ids), tile):
+            x = slice(i, i + tile)
+            mine = folded(bits[x], widths[i])
+            for j in range(i, len(ids), tile):
+                y = slice(j, j + tile)
+                largest = size[x][-1]
+                if largest < similarity * size[j] - 1e-6:
+                    break
+                theirs = folded(bits[y], widths[i])
+                count = [np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (mine, theirs)]
+                reach = most_apart(largest + size[y][-1], similarity)
+                if count[1].min() - count[0].max() > reach or count[0].min() - count[1].max() > reach:
+                    continue
+                near = size[x][:, None] >= similarity * size[y][None, :] - 1e-6
+                near &= (comp[x][:, None] != comp[y][None, :]) & (side[x][:, None] + side[y][None, :] == np.where(side[x] < 0, -2, 1)[:, None])
+                if not near.any():
+                    continue
+                apart = np.zeros(near.shape, dtype=np.int64)
+                for w in range(0, mine.shape[1], 16):
+                    apart += np.bitwise_count(mine[:, None, w : w + 16] ^ theirs[None, :, w : w + 16]).sum(axis=2, dtype=np.int64)
+                near &= apart <= most_apart(size[x][:, None] + size[y][None, :], similarity)
+                if i == j:
+                    near = np.triu(near | near.T)
+                a, b = np.nonzero(near)
+                if len(a):
+                    a, b = ids[a + i], ids[b + j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(fields)
-        for cols, lengths in _whole_runs(batches):
-            at = np.arange(len(cols[0]))
-            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            ends = starts + np.repeat(lengths, lengths)
-            if seed is not None:
-                mixed = (cols[1].view(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-                found = [pairs(cols, np.lexsort((mixed, starts))[starts], at)]
-            else:
-                found = []
-                for step in range(1, int(lengths.max())):
-                    at = at[at + step < ends[at]]
-                    found.append(pairs(cols, at, at + step))
-                    if sum(len(f[0]) for f in found) >= _ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=schema)
-                        found = []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=schema)
+        for (_, ids, size, comp, side, bits), lengths in _whole_runs(batches):
+            ends = np.cumsum(lengths)
+            for lo, hi in zip((ends - lengths).tolist(), ends.tolist()):
+                if comp[lo:hi].min() != comp[lo:hi].max():
+                    yield from links(ids[lo:hi], size[lo:hi].astype(np.int64), comp[lo:hi], side[lo:hi].astype(np.int64), bits[lo:hi])
+
+    return run
+
+
+def _allowed(similarity: float):
+    """Kernel over (a, b, sizes, bitmaps): pairs whose bitmaps allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keep = []
+            for sx, sy, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                m = folded([x, y], min(len(x), len(y)))
+                keep.append(int(np.bitwise_count(m[0] ^ m[1]).sum()) <= most_apart(sx + sy, similarity))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=_PAIR)
 
     return run
 
@@ -394,18 +459,20 @@ def near_copies(
     least_tile: int = 8,
     leader_rounds: int = 2,
     radius: int = 3,
+    tile_rows: int = 4096,
 ) -> DataFrame:
     """(doc_id, h, component_id, stays) of every document: closure of the pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` at least.
 
     Nothing is missed and nothing estimated.  Fingerprints within ``radius`` bits
     (``links``) are the first candidates.  Beyond them, sets that similar share one
-    of their first elements in any common order (``prefix_length``), so of the
-    documents that meet under such a shingle all pairs that share enough of them
-    (``_pairs``) are candidates.  Each candidate pair is confirmed on its texts.
-    The order is by hash, shingles that a sample found common last, so that they
-    seldom are in a prefix.  Where more than ``least_tile`` documents meet, they are
-    first compared with one of them, ``leader_rounds`` times; then only pairs of
-    different components are left.
+    of their first elements in any common order (``prefix_length``), so the
+    documents that meet under such a shingle are candidates.  The order is by hash,
+    shingles that a sample found common last, so that they seldom are in a prefix.
+    Where more than ``least_tile`` documents meet, they are first compared with one
+    of them, ``leader_rounds`` times; then what is left of different components is
+    compared in tiles of bitmaps (``_tiled``), ``tile_rows`` rows a task at most.
+    Candidates whose bitmaps are further apart than the similarity allows
+    (``parity_bits``, ``most_apart``) are dropped, the others confirmed on their texts.
 
     Every distinct set is a node of its own, whatever the ids of its rows.  ``h``
     is the text's xxhash64, so that (doc_id, h) names a row's content; component_id
@@ -418,40 +485,41 @@ def near_copies(
     common = docs.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle))
 
     def kernel(cols):
-        last, keys, sizes, prefixes, prints = common.value, [], [], [], []
+        last, keys, sizes, prefixes, prints, bits = common.value, [], [], [], [], []
         for raw in cols["text"]:
             h = _shingle_hashes(raw, shingle)
             keys.append(blake2b(h.tobytes(), digest_size=16).digest())
             sizes.append(len(h))
             prints.append(majority(h))
+            bits.append(parity_bits(h))
             if len(last):
                 late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
                 h = np.concatenate([h[~late], h[late]])
             prefixes.append(h[: prefix_length(len(h), similarity)].view(np.int64))
         fps = np.array(prints, dtype=np.uint64).view(np.int64)
-        return {"doc_id": cols["doc_id"], "h": cols["h"], "key": keys, "size": sizes, "fp": fps, "prefix": prefixes}
+        return {"doc_id": cols["doc_id"], "h": cols["h"], "key": keys, "size": sizes, "fp": fps, "bits": bits, "prefix": prefixes}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-    ddl = "doc_id long, h long, key binary, size int, fp long, prefix array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("fp", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    ddl = "doc_id long, h long, key binary, size int, fp long, bits binary, prefix array<long>"
     prints = materialise(map_rows(texts, [F.col("doc_id"), F.xxhash64("text").alias("h"), F.col("text")], kernel, ddl, schema, text="text"), "copies-prints")
     # Equal sets are one node; only its representative meets others.
     of_null = F.col("doc_id").isNull().alias("none")
     distinct = prints.groupBy("key").agg(
-        F.min(F.struct(of_null, "doc_id", "h")).alias("rep"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "fp", "prefix")]
+        F.min(F.struct(of_null, "doc_id", "h")).alias("rep"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("size", "fp", "bits", "prefix")]
     )
     distinct = materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "copies-distinct")
     rows = materialise(prints.select("doc_id", "h", "key"), "copies-rows")
     discard(prints)
     tokens = distinct.select(F.explode("prefix").alias("token"), "id", "size")
-    shared = in_arrow(tokens.repartition("token").sortWithinPartitions("token"), _repeated, "token long, id long, size int, n long")
-    shared = materialise(shared, "copies-shared")
-    crowd = F.col("n") > least_tile
-    each = shared.groupBy("id").agg(F.count_if(crowd).alias("crowded"), F.count_if(~crowd).alias("plain"))
-    met = materialise(shared.join(each, "id"), "copies-met")
-    discard(shared)
+    counts = materialise(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "copies-tokens")
+    total = distinct.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
+    met = materialise(skew_join(tokens, counts, ["token"], "n", total, sieve=True), "copies-met")
+    discard(counts)
+    sketch = distinct.select("id", "size", "bits")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "copies-pairs")
+        of = lambda n: sketch.select(F.col("id").alias(n), F.col("size").alias(f"s{n}"), F.col("bits").alias(f"x{n}"))
+        pairs = materialise(in_arrow(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "xa", "xb"), _allowed(similarity), "a long, b long"), "copies-pairs")
         ends = materialise(
             pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", "rep.*"), "id").select("id", F.col("doc_id").alias("d"), F.col("h").alias("x")),
             "copies-ends",
@@ -466,23 +534,46 @@ def near_copies(
         discard(pairs, ends, some)
         return links
 
-    def candidates(rows: DataFrame, labels: DataFrame, extra: str, seed: int | None) -> DataFrame:
-        rows = rows.join(labels, rows["id"] == labels["node"], "left")
-        rows = rows.select("token", "id", "size", F.coalesce("component", "id").alias("comp"), F.col(extra).alias("extra")).repartition("token").sortWithinPartitions("token")
-        found = in_arrow(rows, _pairs(similarity, seed), "a long, b long, short long").filter("a <> b").groupBy("a", "b")
-        return found.agg(F.count("*").alias("c"), F.min("short").alias("short")).filter(F.lit(seed is not None) | (F.col("c") >= F.col("short"))).select("a", "b")
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels, rows["id"] == labels["node"], "left").select("token", "id", "size", "n", F.coalesce("component", "id").alias("comp"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def led(rows: DataFrame, seed: int) -> DataFrame:
+        """Pairs of every row and the leader of its token, the least by a seeded hash."""
+        leader = F.min(F.struct(F.xxhash64("id", F.lit(seed)), F.struct("id", "size", "comp"))).alias("l")
+        leaders = materialise(rows.groupBy("token").agg(leader, F.count("*").alias("k")), "copies-leaders")
+        both = skew_join(rows, leaders.select("token", "l.col2.*", "k").toDF("token", "b", "of", "bc", "k"), ["token"], "k", rows.count())
+        fits = F.least("size", "of") >= similarity * F.greatest("size", "of") - 1e-6
+        return ordered(both.filter((F.col("comp") != F.col("bc")) & fits).select(F.col("id").alias("a"), "b"))
+
+    def tiles(rows: DataFrame) -> DataFrame:
+        """Pairs of rows of a token by their bitmaps; large tokens are cut into parts that meet pair by pair."""
+        mixed = rows.groupBy("token").agg(F.min("comp").alias("l"), F.max("comp").alias("m"), F.count("*").alias("k")).filter("l <> m").select("token", "k")
+        left = skew_join(rows, materialise(mixed, "copies-mixed"), ["token"], "k", rows.count(), sieve=True)
+        parts = F.ceil(F.col("k") / tile_rows).cast("int")
+        left = left.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        side = F.when(F.col("part") == F.col("other"), -1).when(F.col("part") < F.col("other"), 0).otherwise(1)
+        cell = F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))
+        cells = left.select(cell.alias("cell"), "id", "comp", side.alias("side")).join(sketch, "id").select("cell", "id", "size", "comp", "side", "bits")
+        return ordered(in_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _tiled(similarity), "a long, b long"))
 
     near = links(distinct.groupBy("fp").agg(F.min("id").alias("rep")).select("fp", "rep"), radius)
     twins = distinct.select("id", F.min("id").over(Window.partitionBy("fp")).alias("first")).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    found = confirm(near.unionByName(twins).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = confirm(ordered(near.unionByName(twins)))
     labels = components(found, "a", "b")
-    found = found.unionByName(confirm(candidates(met.filter(~crowd), labels, "crowded", None)))
+    plain = labelled(met.filter(F.col("n") <= least_tile), labels).select("token", "id", "size", "comp")
+    pairs = in_arrow(plain.repartition("token").sortWithinPartitions("token"), _pairs(similarity), "a long, b long")
+    found = found.unionByName(confirm(pairs.distinct()))
     labels = components(found, "a", "b")
-    crowded = met.filter(crowd)
+    crowded = met.filter(F.col("n") > least_tile)
     if not crowded.isEmpty():
         for seed in [*range(leader_rounds), None]:
-            found = found.unionByName(confirm(candidates(crowded, labels, "plain", seed)))
+            rows_now = materialise(labelled(crowded, labels), "copies-crowded")
+            found = found.unionByName(confirm(tiles(rows_now) if seed is None else led(rows_now, seed)))
             labels = components(found, "a", "b")
+            discard(rows_now)
     # A node's component, and the least row of each component.
     nodes = distinct.join(labels, distinct["id"] == labels["node"], "left").select("key", "rep", "copies", F.coalesce("component", "id").alias("component"))
     nodes = materialise(nodes, "copies-nodes")
