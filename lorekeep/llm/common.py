@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _OWNER: list[tuple[str, Callable[[], None]]] = []
 
 
@@ -49,8 +50,15 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor, once per application."""
+    """Make this package importable in the Python workers of every executor, once per application.
+
+    Where the session does not say how large Arrow batches are, they are bounded by
+    bytes: ten thousand long texts at once would fill an executor beside its heap.
+    """
     sc = spark.sparkContext
+    if not any(k in spark.conf.getAll for k in _BATCHES):
+        for k, v in _BATCHES.items():
+            spark.conf.set(k, v)
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

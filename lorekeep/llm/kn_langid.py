@@ -78,7 +78,7 @@ class HashArray:
 
     def __init__(self, keys: np.ndarray):
         h = keys * _MIX
-        self.order = np.argsort(h)
+        self.size, self.order = len(keys), np.argsort(h)
         self.hashes = np.append(h[self.order], np.uint64(0xFFFFFFFFFFFFFFFF))
         bits = max(8, int(len(keys)).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
@@ -94,7 +94,7 @@ class HashArray:
             pos[behind] += 1
             at[behind] = now = self.hashes[pos[behind]]
             behind = behind[now < h[behind]]
-        pos[(at != h) | (pos == len(self.order))] = -1
+        pos[(at != h) | (pos == self.size)] = -1
         return pos
 
 
@@ -236,6 +236,8 @@ def build(per_lang: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         array = HashArray(every)
         arrays.append(array)
         logp.append(table[array.order])
+    for array in (*arrays, *contexts):
+        array.order = None  # the tables are in its order; a model is broadcast without it
     return Model(langs, arrays, logp, contexts, backoff, unseen)
 
 
