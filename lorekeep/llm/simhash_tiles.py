@@ -410,28 +410,25 @@ def _allowed(similarity: float):
 
 
 def _confirmed(similarity: float, shingle: int):
-    """Kernel over (a, b, text of a, text of b): pairs whose shingle sets have that Jaccard similarity."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Kernel over (cell, a, b, text) sorted by cell, texts (of a, b null) first: pairs whose shingle sets have that Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, frozenset[bytes]] = {}
-
-        def shingles(raw: bytes) -> frozenset[bytes]:
-            if (found := known.get(raw)) is None:
-                if len(known) >= 256:
-                    known.clear()
-                found = known[raw] = frozenset(_shingles(raw, shingle))
-            return found
-
+        now, sets = None, {}
         for batch in batches:
-            for block in blocks(batch, "x", 4 << 20):
-                keep = []
-                for x, y in zip(block.column(2).to_pylist(), block.column(3).to_pylist()):
-                    s, t = shingles(x), shingles(y)
+            for block in blocks(batch, "text", 4 << 20):
+                found = []
+                for cell, x, y, raw in zip(*(block.column(i).to_pylist() for i in range(4))):
+                    if cell != now:
+                        now, sets = cell, {}
+                    if y is None:
+                        sets[x] = frozenset(_shingles(raw, shingle))
+                        continue
+                    s, t = sets[x], sets[y]
                     common = len(s & t)
-                    keep.append(common >= similarity * (len(s) + len(t) - common) - 1e-9)
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([block.column(0).filter(keep), block.column(1).filter(keep)], schema=schema)
+                    if common >= similarity * (len(s) + len(t) - common) - 1e-9:
+                        found.append((x, y))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=_PAIR)
 
     return run
 
@@ -517,22 +514,36 @@ def near_copies(
     discard(counts)
     sketch = distinct.select("id", "size", "bits")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """Pairs whose bitmaps allow the similarity."""
         of = lambda n: sketch.select(F.col("id").alias(n), F.col("size").alias(f"s{n}"), F.col("bits").alias(f"x{n}"))
-        pairs = materialise(in_arrow(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "xa", "xb"), _allowed(similarity), "a long, b long"), "copies-pairs")
-        ends = materialise(
-            pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", "rep.*"), "id").select("id", F.col("doc_id").alias("d"), F.col("h").alias("x")),
-            "copies-ends",
-        )
+        return in_arrow(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "xa", "xb"), _allowed(similarity), "a long, b long")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """Pairs that are as similar, from their texts.
+
+        Ends are numbered so that those of a crowd lie together, and pairs of 64 by
+        64 of them are a cell, in which each text is needed once.
+        """
+        pairs = materialise(pairs, "copies-pairs")
+        ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("g"))
+        ends = materialise(ends, "copies-grouped")
+        numbered = ends.repartitionByRange("g", "a").sortWithinPartitions("g", "a").select(F.col("a").alias("id"), F.shiftright(F.monotonically_increasing_id(), 6).alias("chunk"))
+        numbered = materialise(numbered.join(distinct.select("id", "rep.*"), "id").select("id", "chunk", F.col("doc_id").alias("d"), F.col("h").alias("x")), "copies-ends")
         # Of rows repeated with id and text one is enough.
         own = texts.withColumn("h", F.xxhash64("text"))
-        _, some = split_by_keys(own, [F.col("doc_id"), F.col("h")], ends.select("d", "x"))
-        some = some.groupBy("doc_id", "h").agg(F.any_value("text").alias("text")).join(ends, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x"))).select("id", "text")
+        _, some = split_by_keys(own, [F.col("doc_id"), F.col("h")], numbered.select("d", "x"))
+        some = some.groupBy("doc_id", "h").agg(F.any_value("text").alias("text")).join(numbered, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x"))).select("id", "text")
         some = materialise(some, "copies-texts")
-        both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        links = materialise(in_arrow(both.select("a", "b", "x", "y"), _confirmed(similarity, shingle), "a long, b long"), "copies-links")
-        discard(pairs, ends, some)
-        return links
+        chunk = lambda n: numbered.select(F.col("id").alias(n), F.col("chunk").alias(f"c{n}"))
+        celled = pairs.join(chunk("a"), "a").join(chunk("b"), "b").select(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("cell"), "a", "b")
+        celled = materialise(celled, "copies-cells")
+        members = celled.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(some, "id")
+        both = members.select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(celled.withColumn("text", F.lit(None).cast("binary")))
+        found = in_arrow(both.repartition("cell").sortWithinPartitions("cell", "b"), _confirmed(similarity, shingle), "a long, b long")
+        found = materialise(found, "copies-links")
+        discard(pairs, ends, numbered, some, celled)
+        return found
 
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.join(labels, rows["id"] == labels["node"], "left").select("token", "id", "size", "n", F.coalesce("component", "id").alias("comp"))
@@ -549,8 +560,14 @@ def near_copies(
         return ordered(both.filter((F.col("comp") != F.col("bc")) & fits).select(F.col("id").alias("a"), "b"))
 
     def tiles(rows: DataFrame) -> DataFrame:
-        """Pairs of rows of a token by their bitmaps; large tokens are cut into parts that meet pair by pair."""
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("l"), F.max("comp").alias("m"), F.count("*").alias("k")).filter("l <> m").select("token", "k")
+        """Pairs of rows of a token by their bitmaps; large tokens are cut into parts that meet pair by pair.
+
+        Of tokens that the very same rows share (those of a common passage) one is
+        enough; sets of rows are told apart by their size and 128 bits of hashes.
+        """
+        same = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+        mixed = rows.groupBy("token").agg(F.min("comp").alias("l"), F.max("comp").alias("m"), F.count("*").alias("k"), *same).filter("l <> m")
+        mixed = mixed.groupBy("k", "x1", "x2").agg(F.min("token").alias("token")).select("token", "k")
         left = skew_join(rows, materialise(mixed, "copies-mixed"), ["token"], "k", rows.count(), sieve=True)
         parts = F.ceil(F.col("k") / tile_rows).cast("int")
         left = left.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -561,17 +578,17 @@ def near_copies(
 
     near = links(distinct.groupBy("fp").agg(F.min("id").alias("rep")).select("fp", "rep"), radius)
     twins = distinct.select("id", F.min("id").over(Window.partitionBy("fp")).alias("first")).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    found = confirm(ordered(near.unionByName(twins)))
+    found = confirm(allowed(ordered(near.unionByName(twins))))
     labels = components(found, "a", "b")
     plain = labelled(met.filter(F.col("n") <= least_tile), labels).select("token", "id", "size", "comp")
     pairs = in_arrow(plain.repartition("token").sortWithinPartitions("token"), _pairs(similarity), "a long, b long")
-    found = found.unionByName(confirm(pairs.distinct()))
+    found = found.unionByName(confirm(allowed(pairs.distinct())))
     labels = components(found, "a", "b")
     crowded = met.filter(F.col("n") > least_tile)
     if not crowded.isEmpty():
         for seed in [*range(leader_rounds), None]:
             rows_now = materialise(labelled(crowded, labels), "copies-crowded")
-            found = found.unionByName(confirm(tiles(rows_now) if seed is None else led(rows_now, seed)))
+            found = found.unionByName(confirm(tiles(rows_now) if seed is None else allowed(led(rows_now, seed))))
             labels = components(found, "a", "b")
             discard(rows_now)
     # A node's component, and the least row of each component.
