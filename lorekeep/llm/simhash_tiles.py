@@ -353,13 +353,14 @@ def _tiled(similarity: float, tile: int = 128):
     def links(ids, size, comp, side, bits):
         order = np.argsort(size, kind="stable")
         ids, size, comp, side, bits = (c[order] for c in (ids, size, comp, side, bits))
-        widths = np.array([len(b) for b in bits])  # they grow with the sizes
-        for i in range(0, len(ids), tile):
-            x = slice(i, i + tile)
-            mine = folded(bits[x], widths[i])
-            for j in range(i, len(ids), tile):
-                y = slice(j, j + tile)
-                largest = size[x][-1]
+        # Bitmaps grow with the sizes; a tile is of one width.
+        widths = np.array([len(b) for b in bits])
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(widths)) + 1, [len(ids)]]).tolist()
+        edges = [slice(s, min(s + tile, hi)) for lo, hi in zip(cuts, cuts[1:]) for s in range(lo, hi, tile)]
+        for n, x in enumerate(edges):
+            mine = folded(bits[x], widths[x.start])
+            for y in edges[n:]:
+                i, j, largest = x.start, y.start, size[x][-1]
                 if largest < similarity * size[j] - 1e-6:
                     break
                 theirs = folded(bits[y], widths[i])
@@ -367,7 +368,8 @@ def _tiled(similarity: float, tile: int = 128):
                 reach = most_apart(largest + size[y][-1], similarity)
                 if count[1].min() - count[0].max() > reach or count[0].min() - count[1].max() > reach:
                     continue
-                near = size[x][:, None] >= similarity * size[y][None, :] - 1e-6
+                both = size[x][:, None], size[y][None, :]
+                near = np.minimum(*both) >= similarity * np.maximum(*both) - 1e-6
                 near &= (comp[x][:, None] != comp[y][None, :]) & (side[x][:, None] + side[y][None, :] == np.where(side[x] < 0, -2, 1)[:, None])
                 if not near.any():
                     continue
