@@ -118,7 +118,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 #: A key is heavy if it holds more than this share of the rows, so that at most so many keys are.
-HEAVY_KEYS = 4096
+HEAVY_KEYS = 256
 
 
 def skew_join(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int, sieve: bool = False) -> DataFrame:

@@ -456,7 +456,7 @@ def near_copies(
     shingle: int = 5,
     similarity: float = 0.8,
     least_tile: int = 8,
-    leader_rounds: int = 2,
+    leader_rounds: int = 1,
     radius: int = 3,
     tile_rows: int = 4096,
 ) -> DataFrame:
@@ -580,11 +580,9 @@ def near_copies(
 
     near = links(distinct.groupBy("fp").agg(F.min("id").alias("rep")).select("fp", "rep"), radius)
     twins = distinct.select("id", F.min("id").over(Window.partitionBy("fp")).alias("first")).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    found = confirm(allowed(ordered(near.unionByName(twins))))
-    labels = components(found, "a", "b")
-    plain = labelled(met.filter(F.col("n") <= least_tile), labels).select("token", "id", "size", "comp")
+    plain = met.filter(F.col("n") <= least_tile).select("token", "id", "size", F.col("id").alias("comp"))
     pairs = in_arrow(plain.repartition("token").sortWithinPartitions("token"), _pairs(similarity), "a long, b long")
-    found = found.unionByName(confirm(allowed(pairs.distinct())))
+    found = confirm(allowed(ordered(near.unionByName(twins).unionByName(pairs))))
     labels = components(found, "a", "b")
     crowded = met.filter(F.col("n") > least_tile)
     if not crowded.isEmpty():
