@@ -24,23 +24,25 @@ def iou_pairs(df: DataFrame, least: float, cell: int) -> DataFrame:
     return once.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (shared / (area("a") + area("b") - shared)).alias("iou")).filter(F.col("iou") >= least)
 
 
-def components(pairs: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """(node, component): the least node reachable; labels take the least of their neighbours and of their label's label."""
+def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): the least node reachable; labels take the least of their neighbours and of their label's label until none changes."""
     spark = pairs.sparkSession
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(pairs.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        # Only where the session names no shared folder, as in tests.
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())  # a local master, as in tests
     edges = edges.checkpoint()
     labels = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("n"))
         jump = labels.select(F.col("u").alias("c"), F.col("c").alias("j"))
         moved = labels.join(near, "u").join(jump, "c").select("u", F.least("c", "n", "j").alias("c")).checkpoint()
-        changed = moved.join(labels, ["u", "c"], "left_anti").isEmpty()
+        stable = moved.join(labels, ["u", "c"], "left_anti").isEmpty()
         labels = moved
-        if changed:
+        if stable:
             break
     return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))

@@ -12,7 +12,9 @@ FACTOR = 0.9 ** (1 / DECAY) - 1
 RETENTION = 0.9
 LONGEST_DAYS = 3650
 
-STATE = "struct<s:double,d:double,state:int,reps:int,lapses:int,last:date>"
+#: Fixed value: an interval of so many days makes an item known.
+KNOWN_DAYS = 21
+STATE = "struct<s:double,d:double,state:int,reps:int,lapses:int,last:date,grade:int>"
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
@@ -67,21 +69,26 @@ def _step(acc: Column, review: Column) -> Column:
         F.when(new, F.lit(1)).otherwise(acc["reps"] + 1).alias("reps"),
         F.when(new, F.lit(0)).otherwise(acc["lapses"] + F.when(again, 1).otherwise(0)).alias("lapses"),
         review["day"].alias("last"),
+        grade.cast("int").alias("grade"),
     )
 
 
 def fold(log: DataFrame, key: str, day: str, grade: str, order: list[str]) -> DataFrame:
     """Scheduler state of every item after its reviews in order.
 
-    The fold is sequential within an item by its nature: an item's reviews meet in
-    one row, a few bytes each; items are independent.
+    An item forgotten last (grade 1) is due the same day; one whose interval reaches
+    ``KNOWN_DAYS`` is known, any other is being learned.  The fold is sequential
+    within an item by its nature: an item's reviews meet in one row, a few bytes
+    each; items are independent.
     """
-    review = F.struct(*[F.col(o) for o in order], F.col(day).cast("date").alias("day"), F.col(grade).cast("int").alias("grade"))
+    review = F.struct(F.struct(*order).alias("at"), F.col(day).cast("date").alias("day"), F.col(grade).cast("int").alias("grade"))
     start = F.from_json(F.lit('{"s":0.0,"d":0.0,"state":0,"reps":0,"lapses":0}'), STATE)
     lists = log.groupBy(key).agg(F.sort_array(F.collect_list(review)).alias("_r"))
     state = F.aggregate("_r", start, lambda acc, x: _step(acc, x).cast(STATE))
-    out = lists.select(key, state.alias("c"))
-    return out.select(key, "c.*").withColumn("due", F.date_add("last", interval(F.col("s"))))
+    out = lists.select(key, state.alias("c")).select(key, "c.*")
+    days = F.when(F.col("grade") == 1, 0).otherwise(interval(F.col("s")))
+    status = F.when(days >= KNOWN_DAYS, "known").otherwise("learning")
+    return out.withColumns({"due": F.date_add("last", days), "status": status}).drop("grade")
 
 
 def queue(items: DataFrame, today: str, limit: int) -> DataFrame:
@@ -109,15 +116,19 @@ def last_write(log: DataFrame, keys: list[str], order: list[str], fields: list[s
     return log.groupBy(*keys).agg(latest).select(*keys, "_v.*")
 
 
-def reset(items: DataFrame, status: str, known_days: int = 30) -> DataFrame:
-    """Items set by hand: ``known`` (long interval), ``new`` (state cleared) or ``learning`` (due now)."""
-    today = F.current_date()
-    if status == "new":
-        values = {"s": 0.0, "d": 0.0, "state": 0, "reps": 0, "lapses": 0}
-        cleared = items.withColumns({k: F.lit(v).cast(items.schema[k].dataType) for k, v in values.items()})
-        return cleared.withColumn("due", F.lit(None).cast("date"))
+def reset(items: DataFrame, status: str) -> DataFrame:
+    """Items set by hand.
+
+    ``known``: no longer due, reviewed today, stability as it is, so that an item
+    never reviewed takes the first-review path next time.  ``new``: everything
+    cleared and due today.  ``learning``: nothing but the status.
+    """
+    if status not in ("known", "new", "learning"):
+        raise ValueError(f"no such status: {status}")
+    values = {"status": F.lit(status)}
     if status == "known":
-        return items.withColumns({"state": F.lit(1), "s": F.greatest("s", F.lit(float(known_days))), "due": F.date_add(today, known_days)})
-    if status == "learning":
-        return items.withColumns({"state": F.lit(1), "due": today})
-    raise ValueError(f"no such status: {status}")
+        values |= {"state": F.lit(1), "due": F.lit(None), "last": F.current_date()}
+    elif status == "new":
+        values |= {k: F.lit(0) for k in ("s", "d", "state", "reps", "lapses")} | {"due": F.current_date(), "last": F.lit(None)}
+    types = {f.name: f.dataType for f in items.schema} | {"status": "string"}
+    return items.withColumns({k: v.cast(types.get(k, "date")) for k, v in values.items()})

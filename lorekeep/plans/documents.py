@@ -283,10 +283,10 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[*_~]+', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS clean
-FROM (SELECT doc_id, split_part(text, ' ', 1) || ' ' || lang || ' ' || source AS t FROM documents)
+FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '[ \\t]\\|[ \\t]') THEN replace(text, '|', ' · ') || ' x · ' ELSE coalesce(text, '') || ' ' END || lang || ' ' || source AS t FROM documents)
 """)
 def markdown_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    md = F.concat(F.lit("> **"), F.substring_index("text", " ", 1), F.lit("** [[x|"), "lang", F.lit("]] [`"), "source", F.lit("`](http://h/p)"))
+    md = F.concat(F.lit("> **"), F.coalesce("text", F.lit("")), F.lit("** [[x|"), "lang", F.lit("]] [`"), "source", F.lit("`](http://h/p)"))
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(md).alias("clean"))
 
 

@@ -220,11 +220,11 @@ def conflict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, strpos(lower(text), 'the') - 1 AS at, replace(substr(text, 1, 80), 'the', '<mark>the</mark>') AS shown FROM documents WHERE contains(lower(text), 'the')
+SELECT doc_id, strpos(lower(text), 'the') - 1 AS at, replace(text, 'the', '<mark>the</mark>') AS shown FROM documents WHERE contains(lower(text), 'the')
 """)
 def list_filter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.locate("the", F.lower("text"))
-    shown = F.replace(F.substring("text", 1, 80), F.lit("the"), F.lit("<mark>the</mark>"))
+    shown = F.replace("text", F.lit("the"), F.lit("<mark>the</mark>"))
     return table(spark, sf_dir, "documents").filter(hit > 0).select("doc_id", (hit - 1).cast("long").alias("at"), shown.alias("shown"))
 
 

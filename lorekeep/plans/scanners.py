@@ -36,12 +36,17 @@ def zone_stack_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", normalize_name(F.substring_index("text", "\n", 1)).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", normalize_name("text").alias("name"))
 
 
 @query()
 def char_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document aligned with the next of its source."""
+    docs = table(spark, sf_dir, "documents")
+    # Only ids are sorted by source; the texts meet by id.
     w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.lead("text", 1, "").over(w).alias("b"))
+    follows = docs.select("doc_id", F.lead("doc_id").over(w).alias("next"))
+    later = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("b"))
+    pairs = docs.select("doc_id", F.col("text").alias("a")).join(follows, "doc_id").join(later, "next", "left")
+    pairs = pairs.select("doc_id", "a", F.coalesce("b", F.lit("")).alias("b"))
     return scanners.alignment(pairs, "doc_id", "a", "b")

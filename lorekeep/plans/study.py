@@ -26,10 +26,10 @@ _S_KNEW = f"""c.s * (1 + exp(CAST({_W[8]} AS DOUBLE)) * (11 - {_D1}) * pow(c.s,
 _SQL_FOLD = f"""
 l AS MATERIALIZED (SELECT user_id, CAST(ts AS DATE) AS day, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 4 END AS g,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-f AS (SELECT user_id, n, CAST(CASE g WHEN 1 THEN {_W[0]} WHEN 2 THEN {_W[1]} WHEN 3 THEN {_W[2]} ELSE {_W[3]} END AS DOUBLE) AS s, CAST({_D0} AS DOUBLE) AS d, 1 AS reps, 0 AS lapses, day AS last FROM l WHERE n = 1
-  UNION ALL SELECT c.user_id, l.n, CAST(greatest(CASE WHEN g = 1 THEN {_S_FORGOT} ELSE {_S_KNEW} END, 0.1) AS DOUBLE), CAST({_D1} AS DOUBLE), c.reps + 1, c.lapses + CASE WHEN g = 1 THEN 1 ELSE 0 END, l.day
+f AS (SELECT user_id, n, CAST(CASE g WHEN 1 THEN {_W[0]} WHEN 2 THEN {_W[1]} WHEN 3 THEN {_W[2]} ELSE {_W[3]} END AS DOUBLE) AS s, CAST({_D0} AS DOUBLE) AS d, 1 AS reps, 0 AS lapses, day AS last, g AS lg FROM l WHERE n = 1
+  UNION ALL SELECT c.user_id, l.n, CAST(greatest(CASE WHEN g = 1 THEN {_S_FORGOT} ELSE {_S_KNEW} END, 0.1) AS DOUBLE), CAST({_D1} AS DOUBLE), c.reps + 1, c.lapses + CASE WHEN g = 1 THEN 1 ELSE 0 END, l.day, l.g
   FROM f c JOIN l ON l.user_id = c.user_id AND l.n = c.n + 1),
-z AS (SELECT *, last + CAST(greatest(1, least(3650, round_even(s / {study.FACTOR!r} * (pow(0.9, -2.0) - 1), 0))) AS INTEGER) AS due FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS rn FROM f) WHERE rn = 1)
+z AS (SELECT *, last + CASE WHEN lg = 1 THEN 0 ELSE CAST(greatest(1, least(3650, round_even(s / {study.FACTOR!r} * (pow(0.9, -2.0) - 1), 0))) AS INTEGER) END AS due FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS rn FROM f) WHERE rn = 1)
 """
 
 
@@ -37,10 +37,10 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.fold(_log(spark, sf_dir), "user_id", "day", "grade", ["ts", "event_id"])
 
 
-@query(f"WITH RECURSIVE {_SQL_FOLD} SELECT user_id, round(s, 6) AS stability, round(d, 6) AS difficulty, reps, lapses, CAST(due AS VARCHAR) AS due FROM z")
+@query(f"WITH RECURSIVE {_SQL_FOLD} SELECT user_id, round(s, 6) AS stability, round(d, 6) AS difficulty, reps, lapses, CAST(due AS VARCHAR) AS due, CASE WHEN due - last >= 21 THEN 'known' ELSE 'learning' END AS status FROM z")
 def fsrs_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).select(
-        "user_id", F.round("s", 6).alias("stability"), F.round("d", 6).alias("difficulty"), "reps", "lapses", F.col("due").cast("string").alias("due")
+        "user_id", F.round("s", 6).alias("stability"), F.round("d", 6).alias("difficulty"), "reps", "lapses", F.col("due").cast("string").alias("due"), "status"
     )
 
 

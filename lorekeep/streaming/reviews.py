@@ -55,7 +55,7 @@ def fold_reviews(log: DataFrame) -> DataFrame:
             card = review(tuple(card), int(grade), (ts.normalize() - pd.Timestamp("1970-01-01")).days)
         state.update(tuple(card))
         s, d, _, reps, lapses, day = card
-        yield pd.DataFrame([(key[0], s, d, reps, lapses, days_until(s), day)], columns=["item", "stability", "difficulty", "reps", "lapses", "due_days", "day"])
+        yield pd.DataFrame([(key[0], s, d, reps, lapses, 0 if _bound(int(rows["grade"].iloc[-1]), 1, 4) == 1 else days_until(s), day)], columns=["item", "stability", "difficulty", "reps", "lapses", "due_days", "day"])
 
     return log.groupBy("item").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 

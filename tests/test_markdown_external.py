@@ -59,5 +59,15 @@ def test_chains_and_resets(spark):
     new = spark.createDataFrame([("s", "x"), ("s", "z")], "section string, tag string")
     assert {(r.tag, r.verdict) for r in identity.append_only(old, new, "section", "tag").collect()} == {("y", "removed"), ("z", "added")}
     items = spark.createDataFrame([(1, 5.0, 3.0, 1, 4, 1)], "id int, s double, d double, state int, reps int, lapses int").withColumn("due", F.current_date())
-    assert study.reset(items, "new").first().state == 0 and study.reset(items, "new").first().due is None
-    assert study.reset(items, "known").first().s == 30.0 and study.reset(items, "learning").first().state == 1
+    items = items.withColumn("last", F.lit(None).cast("date"))
+    new, known, learning = (study.reset(items, x).first() for x in ("new", "known", "learning"))
+    assert (new.state, new.s, new.reps, new.due, new.last, new.status) == (0, 0.0, 0, items.first().due, None, "new")
+    assert (known.s, known.state, known.due, known.status) == (5.0, 1, None, "known") and known.last == items.first().due
+    assert (learning.s, learning.state, learning.due, learning.last, learning.status) == (5.0, 1, items.first().due, None, "learning")
+
+
+def test_forgotten_items_are_due_the_same_day(spark):
+    log = [("a", "2024-01-01", 4), ("a", "2024-02-20", 1), ("b", "2024-01-01", 1), ("c", "2024-01-01", 4), ("c", "2024-02-20", 4), ("d", "2024-01-01", 0)]
+    got = {r.k: r for r in study.fold(spark.createDataFrame(log, "k string, day string, g int"), "k", "day", "g", ["day"]).collect()}
+    assert [str(got[k].due) for k in "abd"] == ["2024-02-20", "2024-01-01", "2024-01-01"] and all(got[k].status == "learning" for k in "abd")
+    assert (got["c"].due - got["c"].last).days >= 21 and got["c"].status == "known" and got["a"].lapses == 1
