@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bpe_transducer import encode_documents
@@ -46,20 +46,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         return kept
     # Rows repeated with id and text: one of them, whichever comes first.
-    clear, doubtful = split_by_keys(kept, KEY, again)
-    once = doubtful.withColumn("__stage_h", TEXT_HASH).dropDuplicates(["doc_id", "__stage_h"]).drop("__stage_h")
+    clear, doubtful = split_by_keys(kept, named(), again)
+    once = doubtful.withColumn("__stage_h", named()[1]).dropDuplicates(["doc_id", "__stage_h"]).drop("__stage_h")
     return clear.unionByName(once)
 
 
-#: A row is named by its id and its text's hash; null texts count as empty.
-TEXT_HASH = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-KEY = [F.col("doc_id").cast("long"), TEXT_HASH]
+def named() -> list[Column]:
+    """What names a row: its id and its text's hash; null texts count as empty."""
+    return [F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows named by ``gone``; only rows that may be in that list meet it, the other texts are not shuffled."""
-    clear, doubtful = split_by_keys(docs, KEY, gone)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__stage_id")) & (TEXT_HASH == F.col("__stage_h"))
+    doc_id, h = named()
+    clear, doubtful = split_by_keys(docs, [doc_id, h], gone)
+    same = doc_id.eqNullSafe(F.col("__stage_id")) & (h == F.col("__stage_h"))
     return clear.unionByName(doubtful.join(gone, same, "left_anti"))
 
 
