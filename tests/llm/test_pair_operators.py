@@ -432,3 +432,23 @@ def test_pipeline_stages(spark, tmp_path):
     red = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/pii_redaction").collect()}
     assert red[105].text.startswith("mail me at <EMAIL> now") and red[105].n_chars == len(red[105].text)
     assert docs.filter("doc_id = 105").first().decoded_sha256 == hashlib.sha256(red[105].text.encode()).hexdigest()
+
+
+def test_stages_judge_rows_by_id_and_text(spark, tmp_path):
+    """Repeated ids with other texts, null ids, repeated rows and an empty table."""
+    import corpus_pipeline as c
+
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(["bana", "toka", "miru", "sele", "pofu", "gadi"]) + rng.choice("xyzw") * rng.randint(0, 3) for _ in range(n))
+    t, u, item = say(60), say(60), say(30)
+    rows = [(1, t, "en", "s", 1), (5, t, "en", "s", 1), (5, u, "en", "s", 1), (None, t, "en", "s", 1), (None, say(50), "en", "s", 1), (9, item + " " + say(40), "en", "s", 1), (9, say(45), "en", "s", 1), (12, u, "en", "s", 1), (12, u, "en", "s", 1), (13, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    once = c.near_dedup(spark, docs, str(tmp_path)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    want = [rows[0], rows[2], rows[4], rows[5], rows[6], rows[9]]
+    assert sorted(((r.doc_id, r.text) for r in once), key=repr) == sorted(((i, x) for i, x, *_ in want), key=repr)
+    clean = c.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(key, clean)) == sorted(key(r) for r in docs.collect() if r.text != rows[5][1])
+    for _, stage in c.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
