@@ -7,7 +7,9 @@ configuration is (last whole token, trie node of the token begun).  Determinised
 states are sets of live configurations, each with the tokens it still owes; what
 all owe in common is emitted at once, after no more lookahead than the longest
 token needs.  States and transitions are made when a text first needs them; the
-table is emptied when it reaches ``max_states``, which changes no result.
+table is emptied when it reaches ``max_states``, which changes no result.  Spellings of
+short pre-tokens are kept in two generations: what was not met while the younger one
+filled up is dropped, so frequent words stay whatever the number of rare ones.
 
 Decoding runs an incremental UTF-8 state machine over the token bytes, so that a
 stream may be cut at any token.
@@ -37,8 +39,8 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encoder of single pre-tokens for one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_words: int = 400_000):
-        self.ranks, self.max_states, self.max_words = ranks, max_states, max_words
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_words: int = 400_000, max_pairs: int = 800_000):
+        self.ranks, self.max_states, self.max_words, self.max_pairs = ranks, max_states, max_words, max_pairs
         self.bytes_of = {r: t for t, r in ranks.items()}
         # Trie: node 0 is the root; children by (node << 8 | byte).
         self.child: dict[int, int] = {}
@@ -58,6 +60,7 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.spines: dict[int, tuple[list, list]] = {}
         self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -106,7 +109,7 @@ class Transducer:
                         rank = get(x + y)
                         if rank is not None and rank < x_gone and rank <= y_gone:
                             known = False
-            if len(self.pairs) > 4 * self.max_states:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             self.pairs[a << 20 | b] = known
         return known
@@ -167,10 +170,13 @@ class Transducer:
         """Ids of one pre-token as decimals joined by one space."""
         known = self.words.get(piece)
         if known is None:
-            known = " ".join(map(str, self.run(piece.encode())))
+            known = self.older.get(piece)
+            if known is None:
+                known = " ".join(map(str, self.run(piece.encode())))
             if len(piece) < 64:
-                if len(self.words) >= self.max_words:
-                    self.words.clear()
+                if 2 * len(self.words) >= self.max_words:
+                    self.older = dict(self.words)
+                    self.words.clear()  # the same dictionary: callers hold it over a text
                 self.words[piece] = known
         return known
 

@@ -52,7 +52,7 @@ def test_bpe_matches_the_library(spark, ranks):
 
 def test_bpe_table_limits_change_nothing(ranks):
     text = "The quick brown foxes jumped over lazily sleeping dogs; encyclopaedias notwithstanding. " * 5 + "z" * 400
-    small, large = Encoder(ranks, P.PATTERN, max_states=20, max_words=5), Encoder(ranks, P.PATTERN)
+    small, large = Encoder(ranks, P.PATTERN, max_states=20, max_words=5, max_pairs=7), Encoder(ranks, P.PATTERN)
     assert small.encode(text) == large.encode(text)
 
 
