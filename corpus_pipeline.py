@@ -83,7 +83,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     # Smaller tables than alone: the executors' memory also holds what the earlier stages left in the JVM.
     return encode_documents(
-        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, max_states=16_000, max_words=50_000
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, max_states=32_000, max_words=400_000
     )
 
 
