@@ -128,3 +128,35 @@ def canonical_json(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(canonical, na_action="ignore")
+
+
+#: Fixed value: the digits of Crockford's base 32.
+BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def base32(bits: Column, digits: int) -> Column:
+    """The lowest ``5 * digits`` bits of a whole number, highest digit first."""
+    digit = lambda i: F.substring(F.lit(BASE32), F.shiftright(bits, 5 * i).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
+    return F.concat(*[digit(i) for i in reversed(range(digits))])
+
+
+def page_id(path: Column, created_ms: Column) -> Column:
+    """26 digits that sort by time: 48 bits of milliseconds, then 80 bits of the path's SHA-256.
+
+    No random bits, so that a task run again gives the page the same id.
+    """
+    h = F.sha2(F.concat_ws("\x1f", path, created_ms.cast("string")), 256)
+    parts = [F.conv(F.substring(h, 5 * i + 1, 5), 16, 10).cast("long") for i in range(4)]
+    return F.concat(base32(created_ms.cast("long"), 10), *[base32(p, 4) for p in parts])
+
+
+def assign_page_id(page: Column, new_id: Column) -> Column:
+    """Front matter without ``page_id`` gets one, below its ``type`` line or else at its end; pages without front matter stay."""
+    pattern = r"\A---\n([\s\S]*?)\n---(?:\n|\z)"
+    whole, head = (F.regexp_extract(page, pattern, i) for i in (0, 1))
+    line = F.concat(F.lit("page_id: "), new_id)
+    typed = F.regexp_replace(head, F.lit(r"\A((?:.*\n)*?type:.*)"), F.concat(F.lit("$1\n"), line))
+    last = F.concat(F.rtrim(head, F.lit("\n")), F.lit("\n"), line)
+    rest = F.substring(page, F.length(whole) + 1, F.length(page))
+    placed = F.concat(F.lit("---\n"), F.when(head.rlike("(?m)^type:"), typed).otherwise(last), F.lit("\n---\n"), rest)
+    return F.when((whole == "") | head.rlike("(?m)^page_id:"), page).otherwise(placed)

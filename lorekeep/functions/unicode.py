@@ -28,3 +28,10 @@ def wikilink_key(targets: pd.Series) -> pd.Series:
 def study_key_text(lemmas: pd.Series) -> pd.Series:
     """NFC, stripped, lower case."""
     return lemmas.map(lambda s: unicodedata.normalize("NFC", s.strip()).lower(), na_action="ignore")
+
+
+@pandas_udf(StringType())
+def squeezed_name(names: pd.Series) -> pd.Series:
+    """Like ``normalize_name``, but white space is squeezed before the case is folded; null stays null."""
+    nfkc = names.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+    return nfkc.str.split().str.join(" ").str.casefold()

@@ -60,3 +60,10 @@ def append_only(old: DataFrame, new: DataFrame, section: str, tag: str) -> DataF
     """(section, tag, verdict): entries that went (``removed``) or came (``added``)."""
     a, b = old.select(section, tag).distinct(), new.select(section, tag).distinct()
     return a.exceptAll(b).withColumn("verdict", F.lit("removed")).unionByName(b.exceptAll(a).withColumn("verdict", F.lit("added")))
+
+
+def catalogue(df: DataFrame, id_col: str, order: Column, columns: dict[str, Column]) -> DataFrame:
+    """One row of ``columns`` for each id that is neither null nor empty: that of the last row in ``order``."""
+    known = df.filter(F.coalesce(F.col(id_col).cast("string"), F.lit("")) != "")
+    last = known.groupBy(id_col).agg(F.max_by(F.struct(*[c.alias(n) for n, c in columns.items()]), order).alias("_last"))
+    return last.select(id_col, "_last.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -199,3 +200,55 @@ def same_reading(before: str, after: str, reading: dict[str, str]) -> bool:
         return "".join(text.split())
 
     return read(before) == read(after)
+
+
+def character_times(text: str, start: float, end: float, words: list[tuple[str, float, float]], ahead: int = 3) -> list[tuple[str, float, float]]:
+    """(character, from, to) of a segment's characters but white space.
+
+    Each is looked for among the next ``ahead`` characters of the timed words and has
+    its word's times; one that is not there stands at the end of the last one found,
+    or the segment's start.  Without words all have the segment's times.
+    """
+    spoken = [("".join(word.split()), t0, t1) for word, t0, t1 in words]
+    stream = "".join(word for word, _, _ in spoken)
+    ends = list(itertools.accumulate(len(word) for word, _, _ in spoken))
+    out, at, now = [], 0, start
+    for ch in "".join(text.split()):
+        if not stream:
+            out.append((ch, start, end))
+            continue
+        hit = stream.find(ch, at, at + ahead)
+        if hit < 0:
+            out.append((ch, now, now))
+            continue
+        _, t0, now = spoken[bisect.bisect_right(ends, hit)]
+        at = hit + 1
+        out.append((ch, t0, now))
+    return out
+
+
+def timed_characters(segments: DataFrame, key: str) -> DataFrame:
+    """(key, place, ch, t0, t1) of (key, text, start, end, words: array<struct<word, start, end>>); null texts have no rows.
+
+    A word without a start begins where the one before ended, without an end it has no length.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, text, start, end, words in batch.itertuples(index=False):
+                if text is None:
+                    continue
+                start = 0.0 if pd.isna(start) else start
+                end = start if pd.isna(end) else end
+                timed, last = [], start
+                for w in words if words is not None else ():
+                    t0 = last if w["start"] is None or pd.isna(w["start"]) else w["start"]
+                    last = t0 if w["end"] is None or pd.isna(w["end"]) else w["end"]
+                    timed.append((w["word"] or "", t0, last))
+                rows = character_times(text, start, end, timed)
+                yield pd.DataFrame([(name, i, *r) for i, r in enumerate(rows)], columns=["key", "place", "ch", "t0", "t1"])
+
+    kind = segments.schema[key].dataType.simpleString()
+    times = [F.col(c).cast("double").alias(c) for c in ("start", "end")]
+    rows = segments.select(F.col(key).alias("key"), "text", *times, "words").mapInPandas(run, f"key {kind}, place int, ch string, t0 double, t1 double")
+    return rows.withColumnRenamed("key", key)

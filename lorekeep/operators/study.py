@@ -132,3 +132,19 @@ def reset(items: DataFrame, status: str) -> DataFrame:
         values |= {k: F.lit(0) for k in ("s", "d", "state", "reps", "lapses")} | {"due": F.current_date(), "last": F.lit(None)}
     types = {f.name: f.dataType for f in items.schema} | {"status": "string"}
     return items.withColumns({k: v.cast(types.get(k, "date")) for k, v in values.items()})
+
+
+def session_percent(reviewed: Column, queued: Column) -> Column:
+    """Whole percent of a session that is done, halves up; a session of nothing is at 0."""
+    total = reviewed + queued
+    return F.when(total > 0, F.floor(100.0 * reviewed / total + 0.5)).otherwise(F.lit(0)).cast("long")
+
+
+def due_in(due: Column, today: Column) -> Column:
+    """Days until an item is due; 0 is today, late or undated."""
+    return F.greatest(F.coalesce(F.date_diff(due, today), F.lit(0)), F.lit(0))
+
+
+def scroll_percent(top: Column, height: Column, window: Column) -> Column:
+    """Share of a page that was read, 0 to 100."""
+    return F.least(F.greatest(100.0 * top / F.greatest(height - window, F.lit(1)), F.lit(0.0)), F.lit(100.0))

@@ -273,3 +273,14 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
         F.sum("l_quantity").cast("double").alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n")
     )
+
+
+@query("""
+WITH l AS (SELECT source, max(doc_id) AS asset FROM documents WHERE source <> '' GROUP BY 1)
+SELECT l.source, l.asset, split_part(coalesce(text, ''), chr(10), 1) AS title, sha256(coalesce(text, '')) AS sha FROM l JOIN documents d ON d.doc_id = l.asset
+""")
+def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, asset and content hash of each source; the last row of an id wins."""
+    text = F.coalesce("text", F.lit(""))
+    columns = {"asset": F.col("doc_id"), "title": F.substring_index(text, "\n", 1), "sha": F.sha2(text, 256)}
+    return identity.catalogue(table(spark, sf_dir, "documents"), "source", F.col("doc_id"), columns)

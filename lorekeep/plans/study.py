@@ -145,3 +145,15 @@ def paragraph_break_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"))
     return segment.top_per_group(firsts, ["user_id"], [F.asc("first_ts"), F.asc("event_type")], 1 << 30, rank="place")
+
+
+@query("""
+WITH o AS (SELECT o_custkey, count(*) AS total, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS reviewed, max(CAST(o_orderdate AS DATE)) AS due FROM orders GROUP BY 1)
+SELECT o_custkey, reviewed, total, CAST(floor(100e0 * reviewed / total + 0.5) AS BIGINT) AS percent, CAST(greatest(datediff('day', DATE '1998-01-01', due), 0) AS INTEGER) AS due_in FROM o
+""")
+def review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What share of each session is done and in how many days its last item is due."""
+    done = F.count(F.when(F.col("o_orderstatus") == "F", 1))
+    sessions = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(done.alias("reviewed"), F.count("*").alias("total"), F.max(F.col("o_orderdate").cast("date")).alias("due"))
+    percent = study.session_percent(F.col("reviewed"), F.col("total") - F.col("reviewed"))
+    return sessions.select("o_custkey", "reviewed", "total", percent.alias("percent"), study.due_in(F.col("due"), F.lit("1998-01-01").cast("date")).alias("due_in"))
