@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parse import grammar_key
+
 
 def markdown_tree(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(rel, kind, text) of every ``.md`` file below ``root``; ``kind`` is the first folder, ``_`` folders are generated pages."""
@@ -142,3 +144,60 @@ def epub_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     books = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", True).load(path)
     return books.select("path", "content").mapInArrow(run, "file string, spine int, item string, ord int, kind string, text string, error string")
+
+
+#: Parts of a book of more bytes are not read for its title.
+_PART_BYTES = 2 << 20
+
+#: Titles that say nothing.
+_NO_TITLES = ("untitled", "unknown", "unknown title")
+
+
+def _book_names(data: bytes) -> tuple[str, str]:
+    """(title, creators); both empty where the package is broken or too large."""
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+
+            def part(name: str) -> ElementTree.Element:
+                if z.getinfo(name).file_size > _PART_BYTES:
+                    raise KeyError(name)
+                return ElementTree.fromstring(z.read(name))
+
+            found = [e.attrib["full-path"] for e in part("META-INF/container.xml").iter() if local(e) == "rootfile"]
+            package = part(found[0])
+    except (KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError, OSError):
+        return "", ""
+    names: dict[str, list[str]] = {"title": [], "creator": []}
+    for e in package.iter():
+        text = " ".join((e.text or "").split())
+        if text and local(e) in names:
+            names[local(e)].append(text)
+    title = next(iter(names["title"]), "")
+    return "" if title.casefold() in _NO_TITLES else title, ", ".join(names["creator"])
+
+
+def epub_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(file, title, creators) of ``.epub`` files; what a book does not tell is empty.  Files of no bytes have no row."""
+    fields = pa.schema([("file", pa.string()), ("title", pa.string()), ("creators", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield pa.RecordBatch.from_pylist([dict(zip(fields.names, (file, *_book_names(data.as_py()))))], schema=fields)
+
+    books = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", True).load(path)
+    return books.select("path", "content").mapInArrow(run, "file string, title string, creators string")
+
+
+def grammar_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, lemma) of a card bank, ``{"cards": [{"lemma": ...}]}``: the parts of a lemma between ``／``, with and without ``（...）``.
+
+    Of cards with one alias the first one has it.
+    """
+    bank = spark.read.schema("cards array<struct<lemma:string>>").json(path, multiLine=True)
+    cards = bank.select(F.posexplode("cards").alias("card", "c")).select("card", F.col("c.lemma").alias("lemma"))
+    parts = cards.select("card", "lemma", F.explode(F.split("lemma", "／")).alias("part"))
+    both = F.array("part", F.regexp_replace("part", "（[^）]*）", ""))
+    keys = parts.select("card", "lemma", F.explode(both).alias("alias")).withColumn("alias", grammar_key(F.col("alias"))).filter("alias <> ''")
+    return keys.groupBy("alias").agg(F.min_by("lemma", "card").alias("lemma"))
