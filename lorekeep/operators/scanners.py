@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import difflib
 import itertools
 import re
 import unicodedata
@@ -118,13 +119,19 @@ def folded(text: str) -> tuple[str, list[int]]:
 
 
 def find_quote(text: str, quote: str) -> tuple[int, int] | None:
-    """(start, end) of a quote in the text, formatting aside; exact matches come first."""
+    """(start, end) of a quote in the text, formatting aside; exact matches come first.
+
+    Of a quote of ten folded characters or more that is nowhere, the first 60 % are looked for, six at least.
+    """
     at = text.find(quote)
     if quote and at >= 0:
         return at, at + len(quote)
     plain, places = folded(text)
     wanted, _ = folded(quote)
     at = plain.find(wanted) if wanted else -1
+    if at < 0 and len(wanted) >= 10:
+        wanted = wanted[: max(6, len(wanted) * 6 // 10)]
+        at = plain.find(wanted)
     return None if at < 0 else (places[at], places[at + len(wanted) - 1] + 1)
 
 
@@ -252,3 +259,55 @@ def timed_characters(segments: DataFrame, key: str) -> DataFrame:
     times = [F.col(c).cast("double").alias(c) for c in ("start", "end")]
     rows = segments.select(F.col(key).alias("key"), "text", *times, "words").mapInPandas(run, f"key {kind}, place int, ch string, t0 double, t1 double")
     return rows.withColumnRenamed("key", key)
+
+
+def _span(places: list[int], size: int, spoken: list[tuple[str, float, float]]) -> tuple[float, float] | None:
+    """Times from the first to the last matched place, if at least half of ``size`` characters are matched."""
+    if not places or 2 * len(places) < size:
+        return None
+    return round(spoken[places[0]][1], 2), round(spoken[places[-1]][2], 2)
+
+
+def greedy_times(sentences: list[str], spoken: list[tuple[str, float, float]], ahead: int = 40) -> list[tuple[float, float] | None]:
+    """Times of sentences by characters: each takes its next place among the following ``ahead`` spoken ones, over all sentences in order."""
+    stream, at, out = "".join(ch for ch, _, _ in spoken), 0, []
+    for sentence in sentences:
+        plain, places = "".join(sentence.split()), []
+        for ch in plain:
+            hit = stream.find(ch, at, at + ahead)
+            if hit >= 0:
+                places.append(hit)
+                at = hit + 1
+        out.append(_span(places, len(plain), spoken))
+    return out
+
+
+def block_times(sentences: list[str], spoken: list[tuple[str, float, float]]) -> list[tuple[float, float] | None]:
+    """Times of sentences by the longest matching blocks of all sentences' characters and the spoken ones."""
+    plain = ["".join(s.split()) for s in sentences]
+    matcher = difflib.SequenceMatcher(None, "".join(plain), "".join(ch for ch, _, _ in spoken), autojunk=False)
+    pairs = [(block.a + k, block.b + k) for block in matcher.get_matching_blocks() for k in range(block.size)]
+    written, heard = [a for a, _ in pairs], [b for _, b in pairs]
+    out, start = [], 0
+    for s in plain:
+        lo, hi = (bisect.bisect_left(written, x) for x in (start, start + len(s)))
+        out.append(_span(heard[lo:hi], len(s), spoken))
+        start += len(s)
+    return out
+
+
+def time_sentences(sentences: DataFrame, characters: DataFrame, key: str, align=greedy_times) -> DataFrame:
+    """(key, ord, t0, t1) of (key, ord, text) by (key, place, ch, t0, t1), whose places run over the whole recording; untimed ones are null.
+
+    The walk is sequential, so a task takes the sentences and characters of one recording.
+    """
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("ord"), right.sort_values("place")
+        spoken = list(zip(right["ch"], right["t0"], right["t1"]))
+        times = [t or (None, None) for t in align([t or "" for t in left["text"]], spoken)]
+        return pd.DataFrame({key: left[key].to_numpy(), "ord": left["ord"].to_numpy(), "t0": [a for a, _ in times], "t1": [b for _, b in times]})
+
+    kind = {c: sentences.schema[c].dataType.simpleString() for c in (key, "ord")}
+    both = sentences.select(key, "ord", "text").groupBy(key).cogroup(characters.select(key, "place", "ch", "t0", "t1").groupBy(key))
+    return both.applyInPandas(run, f"`{key}` {kind[key]}, ord {kind['ord']}, t0 double, t1 double")

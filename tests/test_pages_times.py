@@ -39,6 +39,29 @@ def test_character_times(spark):
     assert [tuple(r) for r in got] == [(1, 0, "a", 1.0, 2.0), (1, 1, "b", 2.0, 2.0), (3, 0, "c", 0.0, 0.0)]
 
 
+def test_sentence_times(spark):
+    spoken = [(ch, float(i), i + 1.0) for i, ch in enumerate("今日は晴れです明日は雨です")]
+    sentences = ["今日は 晴れです。", "まったく違う文", "明日は雨です"]
+    want = [(0.0, 7.0), None, (7.0, 13.0)]
+    assert scanners.greedy_times(sentences, spoken) == want and scanners.block_times(sentences, spoken) == want
+    assert scanners.greedy_times(["", "x"], []) == [None, None] == scanners.block_times(["", "x"], [])
+    far = [(ch, 0.0, 1.0) for ch in "-" * 40 + "ab"]
+    assert scanners.greedy_times(["ab"], far) == [None] and scanners.block_times(["ab"], far) == [(0.0, 1.0)]
+    left = spark.createDataFrame([(1, i, t) for i, t in enumerate(sentences)] + [(2, 0, None), (3, 0, "x")], "k long, ord int, text string")
+    right = spark.createDataFrame([(1, i, *c) for i, c in enumerate(spoken)] + [(2, 0, "a", 0.0, 1.0), (9, 0, "b", 0.0, 1.0)], "k long, place int, ch string, t0 double, t1 double")
+    for align in (scanners.greedy_times, scanners.block_times):
+        got = {(r.k, r.ord): (r.t0, r.t1) for r in scanners.time_sentences(left, right, "k", align).collect()}
+        none = (None, None)
+        assert got == {(1, 0): want[0], (1, 1): none, (1, 2): want[2], (2, 0): none, (3, 0): none}
+
+
+def test_quote_head():
+    text = "Alpha beta gamma delta epsilon"
+    start, end = scanners.find_quote(text, "beta gamma delta changed")
+    assert start == 6 and text[start:end].startswith("beta gamma")
+    assert scanners.find_quote(text, "zeta gamma delta") is None and scanners.find_quote(text, "beta xx") is None
+
+
 def test_sessions_and_catalogue(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert [one(study.session_percent(F.lit(a), F.lit(b))) for a, b in ((0, 0), (1, 1), (1, 7), (3, 0))] == [0, 50, 13, 100]
