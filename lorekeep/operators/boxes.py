@@ -1,27 +1,69 @@
-"""Boxes on pages: overlap pairs by grid cells, components by label propagation."""
+"""Boxes on pages: overlap pairs by grid cells, components by label propagation.
+
+Boxes that lie alike on one page are one class: classes meet in cells, members only
+where pairs of boxes are asked for.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_PLACE = ("page", "x0", "y0", "x1", "y1")
+#: Members of a class travel in chunks of about so many.
+CHUNK = 512
 
-def iou_pairs(df: DataFrame, least: float, cell: int) -> DataFrame:
-    """(a, b, iou) with a < b of boxes (id, page, x0, y0, x1, y1) of one page whose overlap over union reaches ``least``.
 
-    Boxes go to the cells they touch; a pair is kept in the cell of its overlap's corner.
+def _solid(df: DataFrame) -> DataFrame:
+    """Boxes that can overlap anything: named, placed, of some area."""
+    return df.filter("id IS NOT NULL AND page IS NOT NULL AND x0 < x1 AND y0 < y1")
+
+
+def class_pairs(df: DataFrame, least: float, cell: int) -> DataFrame:
+    """(page, a_x0 .. a_y1, a_n, b_x0 .. b_y1, b_n, iou) of classes whose overlap over union reaches ``least``, each two once and a class with itself.
+
+    Classes go to the cells they touch; a pair is kept in the cell of its overlap's corner.
     """
+    classes = _solid(df).groupBy(*_PLACE).agg(F.count("*").alias("n"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    placed = df.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    names = ("id", "x0", "y0", "x1", "y1")
-    left, right = (placed.select("page", "cx", "cy", *[F.col(n).alias(f"{p}_{n}") for n in names]) for p in "ab")
-    both = left.join(right, ["page", "cx", "cy"]).filter("a_id < b_id")
+    placed = classes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+    left, right = (placed.select("page", "cx", "cy", *[F.col(n).alias(f"{p}_{n}") for n in (*_PLACE[1:], "n")]) for p in "ab")
+    box = lambda p: F.struct(*[F.col(f"{p}_{n}") for n in _PLACE[1:]])
+    both = left.join(right, ["page", "cx", "cy"]).filter(box("a") <= box("b"))
     x0, y0 = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     w, h = F.least("a_x1", "b_x1") - x0, F.least("a_y1", "b_y1") - y0
     once = both.filter((F.col("cx") == F.floor(x0 / cell)) & (F.col("cy") == F.floor(y0 / cell)) & (w > 0) & (h > 0))
     area = lambda p: (F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{p}_y1") - F.col(f"{p}_y0"))
     shared = (w * h).cast("double")
-    return once.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (shared / (area("a") + area("b") - shared)).alias("iou")).filter(F.col("iou") >= least)
+    return once.withColumn("iou", shared / (area("a") + area("b") - shared)).filter(F.col("iou") >= least).drop("cx", "cy")
+
+
+def iou_pairs(df: DataFrame, least: float, cell: int, iou: Column | None = None) -> DataFrame:
+    """(a, b, iou) with a < b of boxes (id, page, x0, y0, x1, y1) of one page whose overlap over union reaches ``least``.
+
+    ``iou`` is what is reported of the column of that name, computed once for each pair
+    of classes.  Members are dealt into chunks, so that a task holds two chunks of ids at
+    a time however large a class is; every pair is written, and none is made in vain but
+    inside a chunk.
+    """
+    alike = class_pairs(df, least, cell).withColumn("iou", F.col("iou") if iou is None else iou)
+    alike = alike.select("page", *[F.struct(*[F.col(f"{p}_{n}") for n in _PLACE[1:]]).alias(p) for p in "ab"], F.col("a_n").alias("an"), F.col("b_n").alias("bn"), "iou")
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK)
+    dealt = alike.select("page", "a", "b", "iou", "bn", F.explode(F.sequence(F.lit(0).cast("long"), chunks("an") - 1)).alias("i"))
+    dealt = dealt.select("page", "a", "b", "iou", "i", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(F.lit(0).cast("long")), chunks("bn") - 1)).alias("j"))
+    rows = _solid(df).select("page", F.struct(*_PLACE[1:]).alias("box"), "id")
+    sizes = rows.groupBy("page", "box").agg(F.count("*").alias("n"))
+    held = rows.join(sizes, ["page", "box"]).withColumn("chunk", F.pmod(F.xxhash64("id"), chunks("n")))
+    held = held.groupBy("page", "box", "chunk").agg(F.collect_list("id").alias("ids"))
+    side = lambda p, k: held.select("page", F.col("box").alias(p), F.col("chunk").alias(k), F.col("ids").alias(f"{p}_ids"))
+    met = dealt.join(side("a", "i"), ["page", "a", "i"]).join(side("b", "j"), ["page", "b", "j"])
+    # What a task makes is not seen from the bytes it reads, so small partitions are not joined.
+    spark = df.sparkSession
+    met = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    own = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
+    each = met.select("iou", own.alias("own"), F.explode("a_ids").alias("x"), "b_ids").select("iou", "own", "x", F.explode("b_ids").alias("y"))
+    each = each.filter((F.col("x") < F.col("y")) | (~F.col("own") & (F.col("x") > F.col("y"))))
+    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "iou")
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -110,7 +110,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PAIRS} SELECT a, b, round(iou, 6) AS iou FROM q")
 def bbox_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of boxes of one page that overlap well, through cells of a grid."""
-    return boxes.iou_pairs(_boxes(spark, sf_dir), 0.5, 10).select("a", "b", F.round("iou", 6).alias("iou"))
+    return boxes.iou_pairs(_boxes(spark, sf_dir), 0.5, 10, F.round("iou", 6))
 
 
 @query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
