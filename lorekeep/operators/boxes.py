@@ -66,6 +66,27 @@ def iou_pairs(df: DataFrame, least: float, cell: int, iou: Column | None = None)
     return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "iou")
 
 
+def box_components(df: DataFrame, least: float, cell: int) -> DataFrame:
+    """(node, component) of boxes that overlap another by ``least``, without their pairs.
+
+    A class is named by its least id; classes that overlap are linked, and so are those
+    that share an id (an id may occur more than once).  ``least`` is at most 1, so that
+    boxes of one class are linked.
+    """
+    rows = _solid(df)
+    alike = class_pairs(df, least, cell)
+    heads = rows.groupBy(*_PLACE).agg(F.min("id").alias("m"), F.max("id").alias("top"))
+    end = lambda p: heads.select("page", *[F.col(n).alias(f"{p}_{n}") for n in _PLACE[1:]], F.col("m").alias(f"{p}_m"), F.col("top").alias(f"{p}_top"))
+    linked = alike.join(end("a"), ["page", *[f"a_{n}" for n in _PLACE[1:]]]).join(end("b"), ["page", *[f"b_{n}" for n in _PLACE[1:]]])
+    # A class of one id is linked to itself by no pair.
+    linked = linked.filter((F.col("a_m") != F.col("b_m")) | (F.col("a_top") != F.col("b_m")) | (F.col("a_m") != F.col("b_top")))
+    seats = rows.join(heads, list(_PLACE)).groupBy("id").agg(F.min("m").alias("m"), F.collect_set("m").alias("ms"))
+    shared = seats.select(F.col("m").alias("a_m"), F.explode("ms").alias("b_m")).filter("a_m <> b_m")
+    # Loops keep classes that meet no other.
+    labels = components(linked.select("a_m", "b_m").unionByName(shared), "a_m", "b_m")
+    return seats.join(labels.withColumnRenamed("node", "m"), "m").select(F.col("id").alias("node"), "component")
+
+
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node reachable; labels take the least of their neighbours and of their label's label until none changes."""
     spark = pairs.sparkSession

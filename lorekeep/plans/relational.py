@@ -117,7 +117,7 @@ def bbox_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def bbox_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures: connected components of the overlap graph."""
-    return boxes.components(boxes.iou_pairs(_boxes(spark, sf_dir), 0.5, 10), "a", "b")
+    return boxes.box_components(_boxes(spark, sf_dir), 0.5, 10)
 
 
 @query("""

@@ -50,6 +50,15 @@ def test_pairs_and_components_are_those_of_all_pairs(spark, monkeypatch, chunk):
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute(rows)
     assert sorted(map(tuple, boxes.iou_pairs(df, 0.5, 10).collect())) == want
+    assert sorted(map(tuple, boxes.box_components(df, 0.5, 10).collect())) == closure(want)
+
+
+def test_components_make_no_pairs_of_boxes_that_lie_alike(spark):
+    """A hundred thousand boxes in two places: five thousand million pairs, which no one asked for."""
+    n = 100_000
+    df = spark.range(n).selectExpr("id", "'p' page", "cast(id % 2 as int) x0", "0 y0", "cast(12 + id % 2 as int) x1", "9 y1")
+    got = boxes.box_components(df, 0.5, 10)
+    assert got.groupBy("component").count().collect() == [(0, n)]
 
 
 def test_members_of_a_large_class_are_dealt(spark):
