@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
+Each text is split into words once and written as numbers of benchmark words.
 Features are the rarer words of the benchmark; document frequencies are counted over
 all documents.  TF-IDF rows are the benchmark items and passages of documents; all
 words count for their norms.  A
-distributed randomised SVD (range finder with power iterations over a documented,
-bounded sample of passages, and all items) gives a latent basis.  Every passage of
-every document is projected; items whose cosine with a passage reaches
+distributed randomised SVD (range finder with power iterations over every passage of
+every document, by way of the Gram matrix of the features, and all items) gives a
+latent basis.  Every passage of every document is projected; items whose cosine with a passage reaches
 ``least_cosine`` are candidates.  A candidate counts if the longest common
 subsequence of words with the text around the passage covers ``least_lcs`` of the
 item, or, for paraphrases, if it covers ``paraphrase_lcs`` and the text also holds
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, claim, in_arrow, materialise, split_by_keys, utf8
+from .common import blocks, claim, discard, in_arrow, materialise, split_by_keys, utf8
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -54,29 +55,64 @@ class Items:
         return [np.array([self.vocabulary[w] for w in ws], dtype=np.int64) for ws in self.words]
 
 
-def _document_frequency(docs: DataFrame, text_col: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+def _width(size: int) -> np.dtype:
+    """How codes 0..size are stored."""
+    return np.dtype("<u2" if size < 1 << 16 else "<i4")
+
+
+def _coded(rows: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(doc_id, h, text) -> (doc_id, h, codes binary): each word's number, the vocabulary's size for words outside."""
+    shipped = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    fields = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("codes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, size = shipped.value.get, len(shipped.value)
+        kind = _width(size)
+        for batch in batches:
+            for block in blocks(batch, "text", 2 << 20):
+                codes = []
+                for raw in block.column(2).to_pylist():
+                    ws = words_of(raw.decode())
+                    codes.append(np.fromiter(map(get, ws, repeat(size)), dtype=kind, count=len(ws)).tobytes())
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(codes, pa.binary())], schema=fields)
+
+    return in_arrow(rows, run, "doc_id long, h long, codes binary")
+
+
+def _flat(codes: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a column of codes, and how many each document has."""
+    raws = codes.to_pylist()
+    lengths = np.array([len(x) // kind.itemsize for x in raws], dtype=np.int64)
+    return np.frombuffer(b"".join(raws), dtype=kind).astype(np.int64), lengths
+
+
+def _frequencies(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Documents that hold each word, and the number of documents."""
-    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
     fields = pa.schema([("word", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, size = shipped.value.get, len(shipped.value)
         df = np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
-            for block in blocks(batch, "text", 2 << 20):
-                for raw in block.column(0).to_pylist():
-                    ids = {get(w, size) for w in set(words_of(raw.decode()))}
-                    ids.add(size)
-                    df[list(ids)] += 1
+            for block in blocks(batch, "codes", 1 << 19):
+                flat, lengths = _flat(block.column(0), _width(size))
+                held = np.unique(np.repeat(np.arange(len(lengths)), lengths) * (size + 1) + flat) % (size + 1)
+                df += np.bincount(held, minlength=size + 1)
+                df[size] += len(lengths) - np.count_nonzero(held == size)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], schema=fields)
 
-    rows = in_arrow(docs.select(utf8(text_col).alias("text")), run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    rows = in_arrow(coded.select("codes"), run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1, dtype=np.int64)
     df[rows.column("word").to_numpy()] = rows.column("n").to_numpy()
     return df[:-1], int(df[-1])
 
 
+def _document_frequency(docs: DataFrame, text_col: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """``_frequencies`` of plain texts."""
+    rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h"), utf8(text_col).alias("text"))
+    return _frequencies(_coded(rows, vocabulary), len(vocabulary))
+
+
 def choose_features(items: Items, df: np.ndarray, idf: np.ndarray, most: float, energy: float = 0.8) -> np.ndarray:
     """Word -> feature number or -1: words of at most ``most`` documents, and of every item the rarest that carry ``energy`` of its squared norm."""
     keep = df <= most
@@ -111,48 +147,171 @@ def _gram_times(coded: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) ->
     return out
 
 
-def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(f, g) -> one row for each f, the sum of its vectors."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for f, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[f] = sums[f] + np.frombuffer(g) if f in sums else np.frombuffer(g)
-    yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["f", "g"])
+#: Entries of the Gram matrix that a reducer holds dense, and those that a task gathers before it hands them on.
+GRAM_BLOCK, GRAM_HELD = 1 << 18, 1 << 20
+
+
+def _pair_sums(passage: np.ndarray, feature: np.ndarray, idf: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(f * features + g, sum of x_f x_g) over unit TF-IDF rows x of passages, given as (passage, feature) of each word; about ``most`` products at a time."""
+    size = len(idf)
+    key, count = np.unique(passage * size + feature, return_counts=True)
+    passage, feature = np.divmod(key, size)
+    first = np.flatnonzero(np.diff(passage, prepend=-1))
+    x = count * idf[feature]
+    n = np.diff(first, append=len(key))
+    x /= np.repeat(np.sqrt(np.add.reduceat(x * x, first)), n)
+    # Each word of a passage with all words of it.
+    n, first = np.repeat(n, n), np.repeat(first, n)
+    ends, lo = np.cumsum(n), 0
+    while lo < len(key):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + most, side="right")))
+        k = n[lo:hi]
+        a = np.repeat(np.arange(lo, hi), k)
+        b = np.repeat(first[lo:hi] - np.cumsum(k) + k, k) + np.arange(len(a))
+        yield _summed(feature[a] * size + feature[b], x[a] * x[b])
+        lo = hi
+
+
+def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(key, return_inverse=True)
+    return key, np.bincount(at, weights=value, minlength=len(key))
+
+
+def _gram(words: Iterator[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(part, keys, sums) of the Gram matrix, in parts of so many rows, handed on beyond ``most`` entries; words: (passage, feature) of each word, by blocks of whole passages."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        key, value = held[0]
+        part = key // (rows * len(idf))
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = [*cuts[1:].tolist(), len(key)]
+        inside = (key - part * (rows * len(idf))).astype(np.int32)
+        slices = list(zip(cuts.tolist(), ends))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[cuts], pa.int32()), pa.array([inside[a:b].tobytes() for a, b in slices], pa.binary()), pa.array([value[a:b].tobytes() for a, b in slices], pa.binary())],
+            names=["part", "keys", "sums"],
+        )
+
+    for passage, feature in words:
+        for sums in _pair_sums(passage, feature, idf) if len(passage) else ():
+            held.append(sums)
+            size += len(sums[0])
+            if size > 2 * most:
+                held = [_summed(*(np.concatenate(c) for c in zip(*held)))]
+                size = len(held[0][0])
+                if size > most:
+                    yield out()
+                    held, size = [], 0
+    if held:
+        held = [_summed(*(np.concatenate(c) for c in zip(*held)))]
+        yield out()
+
+
+def _dense(parts: DataFrame, features: int) -> DataFrame:
+    """(part, keys, sums) -> (part, rows binary): whole rows of the Gram matrix as doubles."""
+    rows = max(1, GRAM_BLOCK // features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = -1, np.zeros(rows * features)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "rows"])
+        for batch in batches:
+            for part, keys, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at:
+                    if at >= 0:
+                        yield out()
+                        total[:] = 0
+                    at = part
+                total[np.frombuffer(keys, dtype=np.int32)] += np.frombuffer(sums)
+        if at >= 0:
+            yield out()
+
+    return in_arrow(parts.repartition("part").sortWithinPartitions("part"), run, "part int, rows binary")
+
 
+def _passages_gram(coded: DataFrame, size: int, feature: np.ndarray, segment: int, idf: np.ndarray) -> DataFrame:
+    """The Gram matrix of every passage (a segment and the next) of every document."""
+    shipped, rows, most = coded.sparkSession.sparkContext.broadcast((np.append(feature, -1), idf)), max(1, GRAM_BLOCK // len(idf)), GRAM_HELD
 
-def randomised_svd(sample: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, oversample: int = 8, power: int = 2, seed: int = 7, item_weight: float = 50.0) -> np.ndarray:
-    """(features, rank) right singular vectors of the sample's passages stacked with the weighted items.
+    def words(batches: Iterator[pa.RecordBatch], of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for block in blocks(batch, "codes", 1 << 19):
+                flat, lengths = _flat(block.column(0), _width(size))
+                begin = np.cumsum(lengths) - lengths
+                segments = -(-lengths // segment)
+                inside = (np.arange(len(flat)) - np.repeat(begin, lengths)) // segment
+                at = np.repeat(np.cumsum(segments) - segments, lengths) + inside
+                f = of[flat]
+                own, before = f >= 0, (f >= 0) & (inside > 0)
+                yield np.concatenate([at[own], at[before] - 1]), np.concatenate([f[own], f[before]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, weights = shipped.value
+        yield from _gram(words(batches, of), weights, rows, most)
 
-    sample: (ids array<int>) of coded passages, any number of tasks.  Their
-    products are summed by feature in Spark; the driver gets one matrix of
+    return materialise(_dense(in_arrow(coded.select("codes"), run, "part int, keys binary, sums binary"), len(idf)), "latent-gram")
+
+
+def randomised_svd(passages: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, **options) -> np.ndarray:
+    """(features, rank) right singular vectors of passages, given as (ids array<int>), stacked with the weighted items."""
+    shipped, rows, most = passages.sparkSession.sparkContext.broadcast(idf), max(1, GRAM_BLOCK // len(idf)), GRAM_HELD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def words() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                ids = [np.array(x, dtype=np.int64) for x in batch.column(0).to_pylist()]
+                yield np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate([np.zeros(0, np.int64), *ids])
+
+        yield from _gram(words(), shipped.value, rows, most)
+
+    gram = materialise(_dense(in_arrow(passages, run, "part int, keys binary, sums binary"), len(idf)), "latent-gram")
+    return gram_svd(gram, items, idf, rank, **options)
+
+
+def gram_svd(
+    gram: DataFrame, items: list[np.ndarray], idf: np.ndarray, rank: int, oversample: int = 8, power: int = 2, seed: int = 7, item_weight: float = 50.0, corpus_weight: float = math.inf
+) -> np.ndarray:
+    """Leading eigenvectors of the passages' Gram matrix and the weighted items'; the passages weigh ``corpus_weight`` together at most.
+
+    The products are formed where the matrix' rows are; the driver gets one matrix of
     (features, rank) a step.
     """
-    rank = min(rank, len(idf))
-    basis = np.random.default_rng(seed).standard_normal((len(idf), min(rank + oversample, len(idf))))
-    width = basis.shape[1]
+    size, rank = len(idf), min(rank, len(idf))
+    rows = max(1, GRAM_BLOCK // size)
+    basis = np.random.default_rng(seed).standard_normal((size, min(rank + oversample, size)))
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.arange(part * rows, min((part + 1) * rows, size))
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.frombuffer(raw).reshape(rows, size)[own - part * rows, own].sum())])], names=["t"])
+
+    # Rows are of unit length: the trace is the number of passages that hold a feature.
+    found = in_arrow(gram, trace, "t double").agg(F.sum("t")).first()[0] or 0.0
+    scale = min(1.0, corpus_weight / found) if found else 1.0
     for _ in range(power + 1):
         basis, _ = np.linalg.qr(basis)
-        shipped = sample.sparkSession.sparkContext.broadcast((basis.astype(np.float32), idf.astype(np.float32)))
+        shipped = gram.sparkSession.sparkContext.broadcast(basis)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            b, weights = shipped.value
-            total = np.zeros(b.shape, dtype=np.float64)
             for batch in batches:
-                total += _gram_times([np.array(x, dtype=np.int64) for x in batch.column(0).to_pylist()], weights, b)
-            at = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i].tobytes() for i in at], pa.binary())], names=["f", "g"])
+                for part, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                    g = np.frombuffer(raw).reshape(rows, size) @ shipped.value
+                    at = np.flatnonzero(g.any(axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(at + part * rows, pa.int32()), pa.array([g[i].tobytes() for i in at], pa.binary())], names=["f", "g"])
 
         g = item_weight * _gram_times(items, idf, basis)
-        parts = sample.mapInArrow(run, "f int, g binary").repartition("f").mapInArrow(_add_rows, "f int, g binary").toArrow()
+        parts = in_arrow(gram, run, "f int, g binary").toArrow()
         for f, row in zip(parts.column("f").to_pylist(), parts.column("g").to_pylist()):
-            g[f] += np.frombuffer(row)
+            g[f] += scale * np.frombuffer(row)
         # g = (A^T A) basis; its leading left singular vectors are those of A on the right.
         basis = g
     u, _, _ = np.linalg.svd(basis, full_matrices=False)
     return u[:, :rank]
 
 
-def lcs_length(masks: dict[str, int], size: int, text: list[str]) -> int:
+def lcs_length(masks: dict, size: int, text: list) -> int:
     """Longest common subsequence of an item (bit masks of its words' places) with ``text``, bit-parallel."""
     every = (1 << size) - 1
     v = every
@@ -190,14 +349,18 @@ class Matcher:
         norm = np.sqrt(np.array([self.square[ids].sum() for ids in items.coded()]))
         self.latent = (v / norm[:, None]).astype(np.float32)
         self.masks = []
-        for ws in items.words:
-            masks: dict[str, int] = {}
-            for i, w in enumerate(ws):
+        for ids in items.coded():
+            masks: dict[int, int] = {}
+            for i, w in enumerate(ids.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.masks.append(masks)
-        self.answers = [" " + " ".join(ws[-answer_words:]) + " " for ws in items.words]
+        self.answers = [self._spelled(ids[-answer_words:].tolist()) for ids in items.coded()]
         self._index(idf, answer_words)
 
+    @staticmethod
+    def _spelled(codes: list[int]) -> str:
+        return " " + " ".join(map(str, codes)) + " "
+
     def _index(self, idf: np.ndarray, answer_words: int) -> None:
         """Rarer words -> items, and how many of them a region must hold; answers by hash."""
         coded, of_word = self.items.coded(), []
@@ -250,9 +413,13 @@ class Matcher:
         return tuple(np.concatenate(c) for c in zip(*found))
 
     def candidates(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int, float]]:
+        """``coded_candidates`` of lists of words."""
+        get, none = self.get, self.none
+        return self.coded_candidates([np.fromiter(map(get, ws, repeat(none)), dtype=np.int64, count=len(ws)) for ws in docs])
+
+    def coded_candidates(self, coded: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
         """(document, first segment, item, cosine) of passages of two successive segments: all of the exact search, and those near in cosine."""
-        seg, get, none = self.segment, self.get, self.none
-        coded = [np.fromiter(map(get, ws, repeat(none)), dtype=np.int64, count=len(ws)) for ws in docs]
+        seg = self.segment
         starts, owner, first, at = [], [], [], 0
         for i, c in enumerate(coded):
             n = -(-len(c) // seg)
@@ -312,11 +479,11 @@ class Matcher:
         p, q, item = self.spans(flat, doc)
         return doc[p], p - base[doc[p]], q - base[doc[p]], item
 
-    def judge(self, docs: list[list[str]]) -> list[dict[int, tuple[float, float]]]:
+    def judge(self, docs: list[np.ndarray]) -> list[dict[int, tuple[float, float]]]:
         """Per document: item -> (share of the item in the longest common subsequence, cosine) of contaminating items."""
         found: list[dict[int, tuple[float, float]]] = [{} for _ in docs]
         spots: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for doc, first, item, cos in self.candidates(docs):
+        for doc, first, item, cos in self.coded_candidates(docs):
             spots.setdefault((doc, item), []).append((first, cos))
         for (doc, item), places in spots.items():
             words, size = docs[doc], len(self.items.words[item])
@@ -327,12 +494,12 @@ class Matcher:
                 if hi <= done or hi - lo < 1:
                     continue
                 lo = max(0, first * self.segment - size)
-                region = words[lo:hi]
+                region = words[lo:hi].tolist()
                 done = hi
                 if sum(masks[w].bit_count() for w in masks.keys() & set(region)) < self.paraphrase_lcs * size:
                     continue
                 share = lcs_length(masks, size, region) / size
-                if share >= self.least_lcs or share >= self.paraphrase_lcs and self.answers[item] in " " + " ".join(region) + " ":
+                if share >= self.least_lcs or share >= self.paraphrase_lcs and self.answers[item] in self._spelled(region):
                     best = max(best, share)
                     found[doc][item] = (best, max(c for _, c in places))
         return found
@@ -350,15 +517,14 @@ def decontaminate(
     least_lcs: float = 0.75,
     paraphrase_lcs: float = 0.5,
     answer_words: int = 5,
-    sample_docs: int = 1500,
-    sample_passages: int = 8,
+    corpus_weight: float = 12_000,
     items_per_block: int = 1024,
 ) -> DataFrame:
     """(doc_id, h, contaminated, item_ids, lcs, cosine) of every document; repeated ids keep one row each.
 
-    h is the text's xxhash64.  The basis is fitted on at most about ``sample_docs``
-    documents, taken by a hash of their ids, ``sample_passages`` passages of each;
-    every passage of every document is searched.  Null and empty texts are clean, as
+    h is the text's xxhash64.  The basis is fitted on every passage of every document,
+    which together weigh as ``corpus_weight`` passages at most, so that the items' share
+    of it does not vanish in a large corpus; every passage is searched.  Null and empty texts are clean, as
     is everything if the benchmark is empty; items without words are ignored.  Other
     columns are ignored.
     """
@@ -378,13 +544,15 @@ def decontaminate(
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in pairs for w in ws))}
         items = Items([i for i, _ in pairs], [w for _, w in pairs], vocabulary)
         if pairs:
-            df, n = _document_frequency(docs, text_col, vocabulary)
+            size = len(vocabulary)
+            coded = materialise(_coded(rows, vocabulary), "latent-codes")
+            df, n = _frequencies(coded, size)
             idf = np.log((n + 1) / (df + 1)) + 0.05
             feature = choose_features(items, df, idf, max_df * n)
-            chosen = {w: int(feature[i]) for w, i in vocabulary.items() if feature[i] >= 0}
-            coded = _sample(rows, chosen, 2 * segment, sample_docs, sample_passages, n)
+            gram = _passages_gram(coded, size, feature, segment, idf[feature >= 0])
             of_items = [feature[ids][feature[ids] >= 0] for ids in items.coded()]
-            basis = randomised_svd(coded, of_items, idf[feature >= 0], rank)
+            basis = gram_svd(gram, of_items, idf[feature >= 0], rank, corpus_weight=corpus_weight)
+            discard(gram)
             matcher = Matcher(items, idf, feature, basis, segment, least_cosine, least_lcs, paraphrase_lcs, answer_words)
             del matcher.get  # a bound method does not travel
             shipped = spark.sparkContext.broadcast(matcher)
@@ -392,10 +560,10 @@ def decontaminate(
             def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
                 claim("latent")
                 m = shipped.value
-                m.get = m.items.vocabulary.get
+                kind = _width(m.none)
                 for batch in batches:
-                    for block in blocks(batch, "text", 1 << 19):
-                        found = m.judge([words_of(t.decode()) for t in block.column(2).to_pylist()])
+                    for block in blocks(batch, "codes", 80_000 * kind.itemsize):
+                        found = m.judge([np.frombuffer(t, dtype=kind).astype(np.int64) for t in block.column(2).to_pylist()])
                         yield pa.RecordBatch.from_arrays(
                             [
                                 block.column(0),
@@ -408,7 +576,7 @@ def decontaminate(
                             schema=fields,
                         )
 
-            found.append(in_arrow(rows, run, ddl))
+            found.append(in_arrow(coded, run, ddl))
     if not found:
         return clean
     if passes == 1:
@@ -428,7 +596,7 @@ def decontaminate(
 
 
 def _sample(rows: DataFrame, vocabulary: dict[str, int], width: int, sample_docs: int, sample_passages: int, n: int) -> DataFrame:
-    """(ids array<int>) of coded passages of a bounded sample of documents."""
+    """(ids array<int>) of coded passages of a bounded sample of documents, for trials of the search; ``decontaminate`` fits on all."""
     shipped = rows.sparkSession.sparkContext.broadcast(vocabulary)
     rate = int(min(1.0, sample_docs / max(n, 1)) * (1 << 30))
     fields = pa.schema([("ids", pa.list_(pa.int32()))])

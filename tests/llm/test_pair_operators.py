@@ -189,6 +189,47 @@ def test_svd_is_that_of_the_stacked_matrix(spark):
     assert np.allclose(np.abs(np.sum(got * want[:6].T, axis=0)), 1, atol=0.02)
 
 
+def test_decontamination_fits_on_every_passage(spark, monkeypatch):
+    """The Gram matrix that the basis comes from is that of all passages of all documents; no sample is taken."""
+    from lorekeep.llm import latent_decontam as L
+
+    rng = random.Random(23)
+    words = [f"v{i}" for i in range(300)]
+    items = [rng.sample(words, 20) for _ in range(8)]
+    docs = [rng.choices(words, k=rng.randint(0, 90)) for _ in range(1700)] + [rng.choices(words, k=2000)]
+    seen = {}
+
+    def keep(gram, of_items, idf, rank, **options):
+        rows = max(1, L.GRAM_BLOCK // len(idf))
+        whole = np.zeros((-(-len(idf) // rows) * rows, len(idf)))
+        for part, raw in gram.collect():
+            whole[part * rows : (part + 1) * rows] += np.frombuffer(raw).reshape(rows, len(idf))
+        seen.update(gram=whole[: len(idf)], idf=idf)
+        return fit(gram, of_items, idf, rank, **options)
+
+    fit = L.gram_svd
+    monkeypatch.setattr(L, "gram_svd", keep)
+    monkeypatch.setattr(L, "_sample", None)
+    monkeypatch.setattr(L, "GRAM_HELD", 500)
+    monkeypatch.setattr(L, "GRAM_BLOCK", 2000)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    L.decontaminate(docs_of(spark, [(i, " ".join(d)) for i, d in enumerate(docs)]), bench)
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in items for w in ws))}
+    df = np.array([sum(w in d for d in map(set, docs)) for w in vocabulary])
+    idf = np.log((len(docs) + 1) / (df + 1)) + 0.05
+    feature = L.choose_features(L.Items(list(range(8)), items, vocabulary), df, idf, 0.05 * len(docs))
+    weights = idf[feature >= 0]
+    want = np.zeros((len(weights), len(weights)))
+    for d in docs:
+        for s in range(0, len(d), 16):
+            own = [feature[vocabulary[w]] for w in d[s : s + 32] if w in vocabulary and feature[vocabulary[w]] >= 0]
+            if own:
+                x = np.bincount(own, minlength=len(weights)) * weights
+                x /= np.linalg.norm(x)
+                want += np.outer(x, x)
+    assert np.allclose(seen["idf"], weights) and np.allclose(seen["gram"], want)
+
+
 def test_latent_search_recalls_what_tf_idf_cosine_finds(spark):
     """At least 0.9 of the (document, item) pairs with a passage of cosine 0.3 over all words, for more items than dimensions."""
     from lorekeep.llm import latent_decontam as L
