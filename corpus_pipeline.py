@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bpe_transducer import encode_documents
-from lorekeep.llm.common import delete_path, materialise, scratch, ship, split_by_keys
+from lorekeep.llm.common import delete_path, materialise, relax_executors, scratch, ship, split_by_keys
 from lorekeep.llm.kn_langid import accepted, fit
 from lorekeep.llm.latent_decontam import decontaminate
 from lorekeep.llm.pii_bootstrap import redact
@@ -37,6 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of rows with equal id and text one stays.  Null texts count as empty.
     """
     ship(spark)
+    relax_executors(spark)
     classes = materialise(near_copies(docs), "dedup-classes")
     gone = classes.filter("NOT stays").select(F.col("doc_id").alias("__stage_id"), F.col("h").alias("__stage_h")).distinct()
     gone = materialise(gone, "dedup-losers")
@@ -67,6 +68,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item or a paraphrase of one; rows that only share an id with one stay."""
     ship(spark)
+    relax_executors(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.filter("contaminated").select(F.col("doc_id").alias("__stage_id"), F.col("h").alias("__stage_h")).distinct()
     return without(docs, materialise(bad, "leaks"))
@@ -74,6 +76,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind; n_chars follows the text."""
+    relax_executors(spark)
     out = redact(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in out.columns else out
 
@@ -81,6 +84,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode to byte-level BPE ids and decode again: (doc_id, n_tokens, ids, ids_sha256, decoded_sha256)."""
     ship(spark)
+    relax_executors(spark)
     # Smaller tables than alone: the executors' memory also holds what the earlier stages left in the JVM.
     return encode_documents(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, max_states=32_000, max_words=400_000

@@ -39,6 +39,15 @@ def relax() -> None:
         pass
 
 
+def relax_executors(spark: SparkSession) -> None:
+    """Let the executors' heaps shrink to what lives, between stages: what an earlier stage freed stays theirs else, beside the Python workers of the next.
+
+    Some tasks for each core ask their JVM for a collection; one that gets none is only larger.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl) -> DataFrame:
     """``mapInArrow`` whose worker gives freed memory back at the end of each task."""
 

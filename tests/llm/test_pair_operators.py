@@ -230,6 +230,12 @@ def test_decontamination_fits_on_every_passage(spark, monkeypatch):
     assert np.allclose(seen["idf"], weights) and np.allclose(seen["gram"], want)
 
 
+def test_executors_are_asked_to_shrink(spark):
+    from lorekeep.llm.common import relax_executors
+
+    relax_executors(spark)
+
+
 def test_latent_search_recalls_what_tf_idf_cosine_finds(spark):
     """At least 0.9 of the (document, item) pairs with a passage of cosine 0.3 over all words, for more items than dimensions."""
     from lorekeep.llm import latent_decontam as L
