@@ -287,6 +287,20 @@ def test_latent_search_recalls_what_tf_idf_cosine_finds(spark):
     assert recall >= 0.9
 
 
+def test_latent_search_recalls_as_much_with_the_fit_on_every_passage(spark, monkeypatch):
+    """The test above with the fit that ``decontaminate`` uses."""
+    from lorekeep.llm import latent_decontam as L
+
+    def fit(given, items, idf, rank):
+        rows, chosen = given
+        coded = L._coded(rows.selectExpr("doc_id", "0L h", "text"), chosen)
+        return L.gram_svd(L._passages_gram(coded, len(chosen), np.arange(len(chosen)), 16, idf), items, idf, rank, corpus_weight=12_000)
+
+    monkeypatch.setattr(L, "_sample", lambda rows, chosen, *_: (rows, chosen))
+    monkeypatch.setattr(L, "randomised_svd", fit)
+    test_latent_search_recalls_what_tf_idf_cosine_finds(spark)
+
+
 def brute_top_k(rows, k, modulus):
     good = [(i, [x * 256 for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     good = [(i, [math.floor(x) for x in v]) for i, v in good if all(np.isfinite(x) for x in v)]
