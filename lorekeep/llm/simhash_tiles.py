@@ -19,7 +19,7 @@ adds the similar pairs whose fingerprints are further apart.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from itertools import accumulate, combinations
 from math import ceil
@@ -287,6 +287,8 @@ def parity_bits(hashes: np.ndarray) -> bytes:
 
 def folded(bits: list[bytes], width: int) -> np.ndarray:
     """Bitmaps as a matrix of words of 64 bits, all of ``width`` bytes."""
+    if len({len(b) for b in bits}) == 1:
+        return np.bitwise_xor.reduce(np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(bits), -1, width // 8), axis=1)
     out = np.zeros((len(bits), width // 8), dtype=np.uint64)
     for i, b in enumerate(bits):
         out[i] = np.bitwise_xor.reduce(np.frombuffer(b, dtype=np.uint64).reshape(-1, width // 8), axis=0)
@@ -342,54 +344,131 @@ def _pairs(similarity: float):
     return run
 
 
-def _tiled(similarity: float, tile: int = 128):
-    """Kernel over (cell, id, size, comp, side, bits) sorted by cell: pairs of a cell, not of one component, that may be that similar.
+def _near_tiles(similarity: float, size, label, side, bits, settled: Callable[[slice, slice], bool], tile: int = 128) -> Iterator[tuple]:
+    """(i, j, bits apart) of rows, in order of size, that are of different labels and may be that similar; a batch for a pair of tiles.
 
-    Tiles of rows in order of size are compared by exclusive-or and bit counts;
-    tile pairs whose sizes, or whose numbers of bits, differ too much are skipped.
-    Rows of side -1 meet each other, those of side 0 meet those of side 1.
+    Tiles are compared by exclusive-or and bit counts; tile pairs whose sizes, or
+    whose numbers of bits, differ too much are skipped, and those that ``settled``
+    says need no look.  Rows of side -1 meet each other, those of side 0 meet those
+    of side 1.  The caller may change ``label`` between two batches.
     """
+    # Bitmaps grow with the sizes; a tile is of one width.
+    widths = np.array([len(b) for b in bits])
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(widths)) + 1, [len(bits)]]).tolist()
+    edges = [slice(s, min(s + tile, hi)) for lo, hi in zip(cuts, cuts[1:]) for s in range(lo, hi, tile)]
+    for n, x in enumerate(edges):
+        mine = folded(bits[x], widths[x.start])
+        for y in edges[n:]:
+            i, j, largest = x.start, y.start, size[x][-1]
+            if largest < similarity * size[j] - 1e-6:
+                break
+            if settled(x, y):
+                continue
+            both = size[x][:, None], size[y][None, :]
+            near = np.minimum(*both) >= similarity * np.maximum(*both) - 1e-6
+            near &= (label[x][:, None] != label[y][None, :]) & (side[x][:, None] + side[y][None, :] == np.where(side[x] < 0, -2, 1)[:, None])
+            if i == j:
+                near = np.triu(near)
+            if not near.any():
+                continue
+            theirs = folded(bits[y], widths[i])
+            count = [np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (mine, theirs)]
+            reach = most_apart(largest + size[y][-1], similarity)
+            if count[1].min() - count[0].max() > reach or count[0].min() - count[1].max() > reach:
+                continue
+            apart = np.zeros(near.shape, dtype=np.int64)
+            for w in range(0, mine.shape[1], 16):
+                apart += np.bitwise_count(mine[:, None, w : w + 16] ^ theirs[None, :, w : w + 16]).sum(axis=2, dtype=np.int64)
+            near &= apart <= most_apart(size[x][:, None] + size[y][None, :], similarity)
+            a, b = np.nonzero(near)
+            if len(a):
+                yield a + i, b + j, apart[a, b]
+
+
+_MET = pa.schema([("id", pa.int64()), ("comp", pa.int64()), ("root", pa.int64())])
+
+
+def _tiled(similarity: float):
+    """Kernel over (cell, id, size, comp, side, bits) sorted by cell: the rows of a cell that may be that similar to one of another component.
 
-    def links(ids, size, comp, side, bits):
+    Each such row comes once, with a component to which a path of such pairs leads
+    from its own: the pairs themselves grow with the square of a crowd.
+    """
+
+    def met(ids, size, comp, side, bits):
         order = np.argsort(size, kind="stable")
         ids, size, comp, side, bits = (c[order] for c in (ids, size, comp, side, bits))
-        # Bitmaps grow with the sizes; a tile is of one width.
-        widths = np.array([len(b) for b in bits])
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(widths)) + 1, [len(ids)]]).tolist()
-        edges = [slice(s, min(s + tile, hi)) for lo, hi in zip(cuts, cuts[1:]) for s in range(lo, hi, tile)]
-        for n, x in enumerate(edges):
-            mine = folded(bits[x], widths[x.start])
-            for y in edges[n:]:
-                i, j, largest = x.start, y.start, size[x][-1]
-                if largest < similarity * size[j] - 1e-6:
-                    break
-                theirs = folded(bits[y], widths[i])
-                count = [np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (mine, theirs)]
-                reach = most_apart(largest + size[y][-1], similarity)
-                if count[1].min() - count[0].max() > reach or count[0].min() - count[1].max() > reach:
-                    continue
-                both = size[x][:, None], size[y][None, :]
-                near = np.minimum(*both) >= similarity * np.maximum(*both) - 1e-6
-                near &= (comp[x][:, None] != comp[y][None, :]) & (side[x][:, None] + side[y][None, :] == np.where(side[x] < 0, -2, 1)[:, None])
-                if not near.any():
-                    continue
-                apart = np.zeros(near.shape, dtype=np.int64)
-                for w in range(0, mine.shape[1], 16):
-                    apart += np.bitwise_count(mine[:, None, w : w + 16] ^ theirs[None, :, w : w + 16]).sum(axis=2, dtype=np.int64)
-                near &= apart <= most_apart(size[x][:, None] + size[y][None, :], similarity)
-                if i == j:
-                    near = np.triu(near | near.T)
-                a, b = np.nonzero(near)
-                if len(a):
-                    a, b = ids[a + i], ids[b + j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
+        parent, found = np.arange(len(ids)), np.zeros(len(ids), dtype=bool)
+
+        def settled(x, y):
+            # All are known to be near another row, and lie together already.
+            return bool(found[x].all() and found[y].all() and (parent[x] == parent[x.start]).all() and (parent[y] == parent[x.start]).all())
+
+        for a, b, _ in _near_tiles(similarity, size, comp, side, bits, settled):
+            found[a] = found[b] = True
+            parent[:] = _merge(parent, a, b)
+        return ids[found], comp[found], comp[parent[found]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, ids, size, comp, side, bits), lengths in _whole_runs(batches):
-            ends = np.cumsum(lengths)
+            ends, out = np.cumsum(lengths), []
             for lo, hi in zip((ends - lengths).tolist(), ends.tolist()):
                 if comp[lo:hi].min() != comp[lo:hi].max():
-                    yield from links(ids[lo:hi], size[lo:hi].astype(np.int64), comp[lo:hi], side[lo:hi].astype(np.int64), bits[lo:hi])
+                    out.append(met(ids[lo:hi], size[lo:hi].astype(np.int64), comp[lo:hi], side[lo:hi].astype(np.int64), bits[lo:hi]))
+            if sum(len(o[0]) for o in out):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_MET)
+
+    return run
+
+
+def _linked(similarity: float, shingle: int):
+    """Kernel over (cell, id, size, comp, side, bits, text) sorted by cell: links that join the components of a cell's rows.
+
+    Pairs that the bitmaps allow are confirmed on the texts, nearest first; pairs of
+    rows that are joined by then are passed over, so that a cell leaves fewer links
+    than it has rows, and its components are those of all its pairs of that Jaccard similarity.
+    """
+
+    def links(ids, size, comp, side, bits, texts):
+        order = np.argsort(size, kind="stable")
+        ids, size, comp, side, bits, texts = (c[order] for c in (ids, size, comp, side, bits, texts))
+        _, first, which = np.unique(comp, return_index=True, return_inverse=True)
+        parent, words, sets, out = first[which], {}, {}, []
+
+        def of(i):
+            if i not in sets:
+                sets[i] = frozenset(words.setdefault(s, s) for s in _shingles(texts[i], shingle))
+            return sets[i]
+
+        for a, b, apart in _near_tiles(similarity, size, parent, side, bits, lambda x, y: False):
+            nearest = np.argsort(apart, kind="stable")
+            a, b = a[nearest], b[nearest]
+            up, joined = {}, []
+            for i, j, r, s in zip(a.tolist(), b.tolist(), parent[a].tolist(), parent[b].tolist()):
+                while r in up:
+                    r = up[r]
+                while s in up:
+                    s = up[s]
+                if r == s:
+                    continue
+                common = len(of(i) & of(j))
+                if common >= similarity * (len(of(i)) + len(of(j)) - common) - 1e-9:
+                    up[max(r, s)] = min(r, s)
+                    joined.append((i, j))
+            if joined:
+                i, j = np.array(joined).T
+                parent[:] = _merge(parent, i, j)
+                out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, ids, size, comp, side, bits, texts), lengths in _whole_runs(batches):
+            ends, out = np.cumsum(lengths), []
+            for lo, hi in zip((ends - lengths).tolist(), ends.tolist()):
+                if comp[lo:hi].min() != comp[lo:hi].max():
+                    out += links(ids[lo:hi], size[lo:hi].astype(np.int64), comp[lo:hi], side[lo:hi].astype(np.int64), bits[lo:hi], texts[lo:hi])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_PAIR)
 
     return run
 
@@ -459,6 +538,7 @@ def near_copies(
     leader_rounds: int = 1,
     radius: int = 3,
     tile_rows: int = 4096,
+    part_shingles: int = 1 << 17,
 ) -> DataFrame:
     """(doc_id, h, component_id, stays) of every document: closure of the pairs whose sets of word shingles have a Jaccard similarity of ``similarity`` at least.
 
@@ -469,7 +549,10 @@ def near_copies(
     shingles that a sample found common last, so that they seldom are in a prefix.
     Where more than ``least_tile`` documents meet, they are first compared with one
     of them, ``leader_rounds`` times; then what is left of different components is
-    compared in tiles of bitmaps (``_tiled``), ``tile_rows`` rows a task at most.
+    compared in tiles of bitmaps (``_tiled``), ``tile_rows`` rows a task at most,
+    which leave the rows that may be similar to others, not the pairs of them.
+    Those rows meet once more with their texts, ``part_shingles`` shingles of a
+    crowd at a time, and leave the links that join them (``_linked``).
     Candidates whose bitmaps are further apart than the similarity allows
     (``parity_bits``, ``most_apart``) are dropped, the others confirmed on their texts.
 
@@ -521,6 +604,14 @@ def near_copies(
         of = lambda n: sketch.select(F.col("id").alias(n), F.col("size").alias(f"s{n}"), F.col("bits").alias(f"x{n}"))
         return in_arrow(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "xa", "xb"), _allowed(similarity), "a long, b long")
 
+    def worded(nodes: DataFrame) -> DataFrame:
+        """``nodes``, whose columns d and x name rows of ``texts``, with their texts."""
+        # Of rows repeated with id and text one is enough.
+        own = texts.withColumn("h", F.xxhash64("text"))
+        _, some = split_by_keys(own, [F.col("doc_id"), F.col("h")], nodes.select("d", "x"))
+        some = some.groupBy("doc_id", "h").agg(F.any_value("text").alias("text"))
+        return some.join(nodes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x"))).select(*nodes.columns, "text")
+
     def confirm(pairs: DataFrame) -> DataFrame:
         """Pairs that are as similar, from their texts.
 
@@ -532,11 +623,7 @@ def near_copies(
         ends = materialise(ends, "copies-grouped")
         numbered = ends.repartitionByRange("g", "a").sortWithinPartitions("g", "a").select(F.col("a").alias("id"), F.shiftright(F.monotonically_increasing_id(), 6).alias("chunk"))
         numbered = materialise(numbered.join(distinct.select("id", "rep.*"), "id").select("id", "chunk", F.col("doc_id").alias("d"), F.col("h").alias("x")), "copies-ends")
-        # Of rows repeated with id and text one is enough.
-        own = texts.withColumn("h", F.xxhash64("text"))
-        _, some = split_by_keys(own, [F.col("doc_id"), F.col("h")], numbered.select("d", "x"))
-        some = some.groupBy("doc_id", "h").agg(F.any_value("text").alias("text")).join(numbered, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x"))).select("id", "text")
-        some = materialise(some, "copies-texts")
+        some = materialise(worded(numbered).select("id", "text"), "copies-texts")
         chunk = lambda n: numbered.select(F.col("id").alias(n), F.col("chunk").alias(f"c{n}"))
         celled = pairs.join(chunk("a"), "a").join(chunk("b"), "b").select(F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("cell"), "a", "b")
         celled = materialise(celled, "copies-cells")
@@ -562,7 +649,7 @@ def near_copies(
         return ordered(both.filter((F.col("comp") != F.col("bc")) & fits).select(F.col("id").alias("a"), "b"))
 
     def tiles(rows: DataFrame) -> DataFrame:
-        """Pairs of rows of a token by their bitmaps; large tokens are cut into parts that meet pair by pair.
+        """(id, comp, root): rows that may be similar to one of another component; large tokens are cut into parts that meet pair by pair.
 
         Of tokens that the very same rows share (those of a common passage) one is
         enough; sets of rows are told apart by their size and 128 bits of hashes.
@@ -576,7 +663,46 @@ def near_copies(
         side = F.when(F.col("part") == F.col("other"), -1).when(F.col("part") < F.col("other"), 0).otherwise(1)
         cell = F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))
         cells = left.select(cell.alias("cell"), "id", "comp", side.alias("side")).join(sketch, "id").select("cell", "id", "size", "comp", "side", "bits")
-        return ordered(in_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _tiled(similarity), "a long, b long"))
+        return in_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _tiled(similarity), "id long, comp long, root long")
+
+    def linked(cells: DataFrame) -> DataFrame:
+        cells = cells.select("cell", "id", "size", "comp", "side", "bits", "text").repartition("cell").sortWithinPartitions("cell")
+        return materialise(in_arrow(cells, _linked(similarity, shingle), "a long, b long"), "copies-links")
+
+    def crowds(near: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``found`` with the links among ``near`` (``tiles``), and the labels then.
+
+        Components that a path of allowed pairs joins are one crowd, so that every
+        such pair lies in one.  Its rows are dealt to parts.  First each part is
+        compared with itself, which joins most rows; then those that are still not
+        of the crowd's largest component meet all of its parts.
+        """
+        groups = components(near, "comp", "root")
+        nodes = near.select("id", "comp").distinct().join(groups, F.col("comp") == F.col("node")).select("id", "comp", F.col("component").alias("g"))
+        nodes = materialise(nodes.join(distinct.select("id", "size", "bits", F.col("rep.doc_id").alias("d"), F.col("rep.h").alias("x")), "id"), "copies-crowd")
+        members = materialise(worded(nodes).drop("d", "x"), "copies-members")
+        n = members.count()
+        in_parts = lambda shingles: F.ceil(shingles / part_shingles).cast("long")
+        part = F.pmod(F.xxhash64("id"), "parts")
+        parts = materialise(members.groupBy("g").agg(F.count("*").alias("k"), in_parts(F.sum("size")).alias("parts")), "copies-parts")
+        cells = skew_join(members, parts, ["g"], "k", n).withColumn("cell", F.xxhash64("g", part)).withColumn("side", F.lit(-1))
+        found = found.unionByName(linked(cells))
+        labels = components(found, "a", "b")
+        now = members.drop("comp").join(labels, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
+        tally = now.groupBy("g", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("s")).groupBy("g")
+        tally = tally.agg(F.sum("n").alias("k"), F.sum("s").alias("s"), F.count("*").alias("c"), F.max(F.struct("n", "comp", "s")).alias("most"))
+        open_ = tally.filter((F.col("c") > 1) & (F.col("s") > part_shingles))
+        open_ = materialise(open_.select("g", "k", in_parts(F.col("s")).alias("parts"), in_parts(F.col("s") - F.col("most.s")).alias("others"), F.col("most.comp").alias("main")), "copies-open")
+        if not open_.isEmpty():
+            rows = skew_join(now, open_, ["g"], "k", n)
+            every = rows.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))).withColumn("side", F.lit(1))
+            other = rows.filter("comp <> main").withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), "others"))
+            other = other.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("side", F.lit(0))
+            both = every.unionByName(other).withColumn("cell", F.xxhash64("g", "p", "q"))
+            found = found.unionByName(linked(both))
+            labels = components(found, "a", "b")
+        discard(nodes, members, parts, open_)
+        return found, labels
 
     near = links(distinct.groupBy("fp").agg(F.min("id").alias("rep")).select("fp", "rep"), radius)
     twins = distinct.select("id", F.min("id").over(Window.partitionBy("fp")).alias("first")).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
@@ -586,11 +712,16 @@ def near_copies(
     labels = components(found, "a", "b")
     crowded = met.filter(F.col("n") > least_tile)
     if not crowded.isEmpty():
-        for seed in [*range(leader_rounds), None]:
+        for seed in range(leader_rounds):
             rows_now = materialise(labelled(crowded, labels), "copies-crowded")
-            found = found.unionByName(confirm(tiles(rows_now) if seed is None else allowed(led(rows_now, seed))))
+            found = found.unionByName(confirm(allowed(led(rows_now, seed))))
             labels = components(found, "a", "b")
             discard(rows_now)
+        rows_now = materialise(labelled(crowded, labels), "copies-crowded")
+        near = materialise(tiles(rows_now), "copies-near")
+        if not near.isEmpty():
+            found, labels = crowds(near, found)
+        discard(rows_now, near)
     # A node's component, and the least row of each component.
     nodes = distinct.join(labels, distinct["id"] == labels["node"], "left").select("key", "rep", "copies", F.coalesce("component", "id").alias("component"))
     nodes = materialise(nodes, "copies-nodes")

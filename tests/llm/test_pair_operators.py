@@ -135,6 +135,45 @@ def test_near_copies_are_exactly_the_pairs_of_that_jaccard(spark):
         assert [got[i] for i in range(len(texts))] == want.tolist()
 
 
+def test_crowds_of_near_copies_leave_no_pairs(spark, monkeypatch):
+    from lorekeep.llm import simhash_tiles
+
+    def jaccard(x, y):
+        s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+        return len(s & t) / len(s | t)
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    # Crowds around a text each: of two and of three edits, pairs of three are too far apart; two outliers link to nothing.
+    texts, crowd = [], 200
+    for _ in range(2):
+        base = [rng.choice(words) for _ in range(240)]
+        for k in range(crowd):
+            bent = list(base)
+            for at in rng.sample(range(0, 240, 6), (2, 3, 3)[k % 3] if k < crowd - 2 else 5):
+                bent[at] = f"own{k}"
+            texts.append(bent)
+    near = np.array([[i // crowd == j // crowd and jaccard(x, y) >= 0.8 for j, y in enumerate(texts)] for i, x in enumerate(texts)])
+    want = closure(list(range(len(texts))), near)
+    assert near.sum() > 10_000 and len(set(want)) > 2
+    made, plain = [], simhash_tiles.in_arrow
+
+    def counted(df, run, ddl):
+        out = plain(df, run, ddl).cache()
+        made.append((out.count(), df.count(), ddl))
+        return out
+
+    monkeypatch.setattr(simhash_tiles, "in_arrow", counted)
+    docs = docs_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    # No fingerprints or leaders join them before; in one part each, or many.
+    for options in ({}, {"part_shingles": 4000, "tile_rows": 64}):
+        made.clear()
+        got = {r.doc_id: r.component_id for r in simhash_tiles.near_copies(docs, radius=0, leader_rounds=0, **options).collect()}
+        assert [got[i] for i in range(len(texts))] == want.tolist()
+        # At most eight documents meet outside the tiles, in 28 pairs of a shingle.
+        assert made and all(rows <= 4 * given for rows, given, _ in made), made
+
+
 def test_decontamination(spark):
     from lorekeep.llm.latent_decontam import decontaminate, lcs_length
 
